@@ -25,8 +25,7 @@ def with_ranges(df: DataFrame, keys: Sequence[str], order: Column, parts: int =
     grid = F.array(*[F.lit(i / parts) for i in range(1, parts)])
     cuts = work.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_v", grid, F.lit(10 * parts))).alias("_cuts"))
     if keys:
-        on = [work[k].eqNullSafe(cuts[k]) for k in keys]
-        work = work.join(cuts, on, "left").drop(*[cuts[k] for k in keys])
+        work = _attach(work, cuts, keys)
     else:
         work = work.withColumn("_cuts", cuts.scalar())
     below = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
@@ -78,20 +77,24 @@ def with_row_number(
     return out.drop("_part", "_part1", "_v", "_v1", "_tie")
 
 
+def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on keys where null equals null."""
+    renamed = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return left.join(renamed, on, "left").drop(*[f"_k_{k}" for k in keys])
+
+
 def _offset_sums(ranged: DataFrame, keys: list[str], names: list[str], order: list[Column]) -> DataFrame:
     per_range = ranged.groupBy(*keys, "_part").agg(*[F.sum(f"_s_{n}").alias(f"_t_{n}") for n in names])
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_part").alias("_k_part"),
-        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in names],
+        *keys, "_part", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in names]
     )
-    on = [ranged[k].eqNullSafe(offsets[f"_k_{k}"]) for k in keys] + [ranged["_part"] == offsets["_k_part"]]
-    joined = ranged.join(offsets, on, "left")
+    joined = _attach(ranged, offsets, [*keys, "_part"])
     inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     for n in names:
         joined = joined.withColumn(n, F.col(f"_o_{n}") + F.sum(f"_s_{n}").over(inside))
-    helper = [c for c in joined.columns if c.startswith(("_s_", "_o_", "_k_"))]
+    helper = [c for c in joined.columns if c.startswith(("_s_", "_o_"))]
     return joined.drop(*helper)
 
 
@@ -114,8 +117,7 @@ def exact_percentiles(
     placed = with_running(counted, keys, F.col("_x"), {"_upto": F.col("_n")}, parts)
     total = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     if keys:
-        on = [placed[k].eqNullSafe(total[k]) for k in keys]
-        placed = placed.join(total, on).drop(*[total[k] for k in keys])
+        placed = _attach(placed, total, keys)
     else:
         placed = placed.withColumn("_total", total.scalar())
     aggs = []

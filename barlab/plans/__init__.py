@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["bars"]
+FAMILIES = ["bars", "relational"]
 
 
 def all_queries():

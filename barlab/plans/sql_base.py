@@ -84,14 +84,17 @@ table("x_vix", """
         FROM orders GROUP BY 1 HAVING count(*) >= 2)""")
 
 table("x_lists", """
-  SELECT benchmark_index, list_filter(['S' || CAST(i AS VARCHAR), 'S' || CAST((i + 4) % 5 AS VARCHAR)],
-    s -> s <> 'S4') AS symbols
-  FROM (SELECT event_type AS benchmark_index, row_number() OVER (ORDER BY event_type) - 1 AS i
-        FROM (SELECT DISTINCT event_type FROM events))""")
+  SELECT benchmark_index, symbol FROM (
+    SELECT benchmark_index, 'S' || CAST(i AS VARCHAR) AS symbol FROM x_sector_no
+    UNION ALL SELECT benchmark_index, 'S' || CAST((i + 4) % 5 AS VARCHAR) FROM x_sector_no) WHERE symbol <> 'S4'""")
+
+table("x_sector_no", """
+  SELECT event_type AS benchmark_index, row_number() OVER (ORDER BY event_type) - 1 AS i
+  FROM (SELECT DISTINCT event_type FROM events)""")
 
 table("x_members", """
   SELECT symbol, benchmark_index, 'sector' AS membership_type
-  FROM (SELECT benchmark_index, unnest(symbols) AS symbol FROM x_lists)
+  FROM x_lists
   WHERE symbol IN (SELECT symbol FROM x_hours)
   UNION ALL SELECT DISTINCT symbol, 'ALL', 'broad' FROM x_hours""")
 
