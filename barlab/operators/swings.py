@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 SWING = "struct<direction:string,magnitude:double,start_ts:timestamp_ntz,peak_ts:timestamp_ntz,peak_price:double>"
 STATE = (
-    f"struct<i:int,up:boolean,first:double,start_ts:timestamp_ntz,start_price:double,hi:double,lo:double,"
+    f"struct<up:boolean,start_ts:timestamp_ntz,start_price:double,hi:double,lo:double,"
     f"peak_ts:timestamp_ntz,done:array<{SWING}>>"
 )
 
@@ -41,7 +41,7 @@ def swing_array(bars: Column, threshold: Column) -> Column:
     head = F.element_at(bars, 1)
     differs = F.filter(bars, lambda b: b["close"] != head["close"])
     start = F.struct(
-        F.lit(0).alias("i"), (F.element_at(differs, 1)["close"] > head["close"]).alias("up"), head["close"].alias("first"),
+        (F.element_at(differs, 1)["close"] > head["close"]).alias("up"),
         head["ts"].alias("start_ts"), head["close"].alias("start_price"), head["high"].alias("hi"), head["low"].alias("lo"),
         head["ts"].alias("peak_ts"), F.array().cast(f"array<{SWING}>").alias("done"),
     ).cast(STATE)
@@ -55,7 +55,7 @@ def swing_array(bars: Column, threshold: Column) -> Column:
         turned = F.when(up, hi - b["low"] >= threshold).otherwise(b["high"] - lo >= threshold)
         swing = _swing(up, s["start_ts"], s["start_price"], peak_ts, peak)
         after = F.struct(
-            (s["i"] + 1).alias("i"), F.when(turned, ~up).otherwise(up).alias("up"), s["first"].alias("first"),
+            F.when(turned, ~up).otherwise(up).alias("up"),
             F.when(turned, peak_ts).otherwise(s["start_ts"]).alias("start_ts"),
             F.when(turned, peak).otherwise(s["start_price"]).alias("start_price"),
             F.when(turned, b["high"]).otherwise(hi).alias("hi"), F.when(turned, b["low"]).otherwise(lo).alias("lo"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["bars", "relational"]
+FAMILIES = ["bars", "relational", "market_days"]
 
 
 def all_queries():

@@ -19,18 +19,19 @@ def with_tables(sql: str) -> str:
     """Prefix ``sql`` with the definitions it needs, in dependency order."""
     ordered: list[str] = []
 
-    def visit(text: str) -> None:
+    def visit(text: str, inside: tuple[str, ...]) -> None:
         for word in dict.fromkeys(re.findall(r"[a-z_][a-z0-9_]*", text)):
-            if word in TABLES and word not in ordered:
-                visit(TABLES[word])
+            if word in TABLES and word not in ordered and word not in inside:
+                visit(TABLES[word], (*inside, word))
                 if word not in ordered:
                     ordered.append(word)
 
-    visit(sql)
+    visit(sql, ())
     if not ordered:
         return sql
-    ctes = ",\n".join(f"{n} AS MATERIALIZED ({TABLES[n]})" for n in ordered)
-    head = "WITH RECURSIVE" if any("UNION ALL /* recursive */" in TABLES[n] for n in ordered) else "WITH"
+    recursive = {n for n in ordered if "/* recursive */" in TABLES[n]}
+    ctes = ",\n".join(f"{n} AS {'' if n in recursive else 'MATERIALIZED '}({TABLES[n]})" for n in ordered)
+    head = "WITH RECURSIVE" if recursive else "WITH"
     return f"{head} {ctes}\n{sql}"
 
 
@@ -71,6 +72,12 @@ table("x_bench", f"""
 
 table("x_index_hours", "SELECT * FROM x_bench WHERE benchmark_index = 'ALL'")
 
+table("x_session", f"""
+  SELECT {_CLOCK}, open, high, low, close, volume FROM (
+    SELECT date_trunc('day', o_orderdate) + to_minutes(60 * (9 + o_orderkey % 7) + 15) AS bar,
+      arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low,
+      arg_max(o_totalprice, o_orderkey) AS close, count(*) AS volume FROM orders GROUP BY 1)""")
+
 table("x_index", """
   SELECT CAST(o_orderdate AS DATE) AS date, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high,
     min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close, count(*) AS volume

@@ -104,6 +104,16 @@ class Fixtures:
     def index_intraday(self) -> DataFrame:
         return self.bench_intraday.where(F.col("benchmark_index") == "ALL").drop("benchmark_index")
 
+    @cached_property
+    def index_session(self) -> DataFrame:
+        """Hourly index bars, 09:15 to 15:15, on the dates of ``index_daily``."""
+        slot = (F.lit(9) + F.col("o_orderkey") % 7).cast("int")
+        orders = self.table("orders").select(
+            (F.col("o_orderdate").cast("date").cast("timestamp_ntz") + F.make_dt_interval(hours=slot, mins=F.lit(15))).alias("bar"),
+            "o_orderkey", F.col("o_totalprice").alias("price"),
+        )
+        return _clocked(ticks_to_bars(orders, ["bar"], "price", F.count(F.lit(1)), ["o_orderkey"]), [])
+
     @cached_property
     def index_daily(self) -> DataFrame:
         orders = self.table("orders").select(
