@@ -51,6 +51,13 @@ def ratio(a: Column, b: Column) -> Column:
     return a / nonzero(b)
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation as an aggregate; null where a side does not vary."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return F.covar_pop(x, y) / nonzero(F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def pct_change(x: Column, n: int, w: WindowSpec) -> Column:
     return ratio(x, F.lag(x, n).over(w)) - 1
 

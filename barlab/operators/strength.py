@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlab.functions.scalars import label, to_minutes
-from barlab.functions.windows import nonzero
+from barlab.functions.windows import correlation, nonzero
 from barlab.operators.aggregates import percentile_set, quantile_bins
 from barlab.operators.joins import through_membership
 
@@ -267,7 +267,7 @@ def rs_relevance(days: DataFrame, exact: DataFrame) -> DataFrame:
     out = long.groupBy("measure").agg(
         F.count_if(F.col("rs") > 0).alias("n_pos"), F.avg(F.when(F.col("rs") > 0, F.col("hit"))).alias("pos_hit"),
         F.count_if(F.col("rs") <= 0).alias("n_neg"), F.avg(F.when(F.col("rs") <= 0, F.col("hit"))).alias("neg_hit"),
-        F.corr("rs", "hit").alias("corr"),
+        correlation(F.col("rs"), F.col("hit")).alias("corr"),
     ).withColumn("base_rate", rate)
     return out.withColumns({"pos_lift": F.col("pos_hit") - F.col("base_rate"), "neg_lift": F.col("neg_hit") - F.col("base_rate")})
 

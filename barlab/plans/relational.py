@@ -266,7 +266,7 @@ def _(fx):
        "SELECT symbol, corr(high - low, CAST(volume AS DOUBLE)) AS corr FROM x_bars GROUP BY symbol")
 def _(fx):
     return fx.bars_daily.withColumn("range", C("high") - C("low")).groupBy("symbol").agg(
-        F.corr("range", C("volume").cast("double")).alias("corr"))
+        W.correlation(C("range"), C("volume").cast("double")).alias("corr"))
 
 
 @query("agg16_mean_of_means", "symbol mean_of_means:r pooled_mean:r",
