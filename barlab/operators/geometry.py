@@ -76,56 +76,56 @@ def _pivot(kind: str) -> Column:
     )
 
 
-def with_pivots(bars: DataFrame, k: int) -> DataFrame:
-    """Mark strict fractal highs and lows; needs ``bar_index``."""
+def with_pivots(bars: DataFrame, widths: Sequence[int]) -> DataFrame:
+    """Mark strict fractal highs and lows for each width; needs ``bar_index``."""
     w = _session()
-    return bars.withColumns({
-        "_ph": F.when(strict_peak(F.col("high"), k, w), _pivot("high")),
-        "_pl": F.when(strict_peak(-F.col("low"), k, w), _pivot("low")),
-    })
+    marks = {}
+    for k in widths:
+        marks[f"_ph{k}"] = F.when(strict_peak(F.col("high"), k, w), _pivot("high"))
+        marks[f"_pl{k}"] = F.when(strict_peak(-F.col("low"), k, w), _pivot("low"))
+    return bars.withColumns(marks)
 
 
 def fractal_pivots(bars: DataFrame, k: int) -> DataFrame:
     """One row per pivot, with the bar at which it becomes known."""
-    marked = with_pivots(bars, k)
-    both = F.array_compact(F.array("_ph", "_pl"))
+    marked = with_pivots(bars, [k])
+    both = F.array_compact(F.array(f"_ph{k}", f"_pl{k}"))
     return marked.select("symbol", "d", F.explode(both).alias("p")).select(
         "symbol", "d", "p.*", (F.col("p.j") + k).alias("confirm_j")
     )
 
 
-def triggers(measured: DataFrame, k: int, window_start: str, window_end: str) -> DataFrame:
-    """Level breaks with their measures; ``measured`` comes from :func:`indicators`.
+def triggers(measured: DataFrame, widths: Sequence[int], window_start: str, window_end: str) -> DataFrame:
+    """Level breaks with their measures, for every fractal width in one pass.
 
-    A pivot replaces its side's level when confirmed, before the break test of
-    that bar. A break outside the entry window leaves the level alive.
+    ``measured`` comes from :func:`indicators`. A pivot replaces its side's
+    level when confirmed, before the break test of that bar. A break outside
+    the entry window leaves the level alive.
     """
     w = _session()
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    df = with_pivots(measured, k).withColumns({
-        "_h": F.lag("_ph", k).over(w),
-        "_l": F.lag("_pl", k).over(w),
-        "open_0915": F.min_by("open", "bar_index").over(Window.partitionBy("symbol", "d")),
-    })
-    df = df.withColumns({
-        "_high": F.last("_h", ignorenulls=True).over(upto), "_low": F.last("_l", ignorenulls=True).over(upto),
-        "_hj": F.last(F.col("_h.j"), ignorenulls=True).over(upto), "_lj": F.last(F.col("_l.j"), ignorenulls=True).over(upto),
-    })
+    df = with_pivots(measured, widths).withColumn("open_0915", F.min_by("open", "bar_index").over(Window.partitionBy("symbol", "d")))
+    df = df.withColumns({f"_{s}{k}": F.lag(f"_p{s}{k}", k).over(w) for k in widths for s in "hl"})
+    df = df.withColumns({f"_{s}{k}": F.last(f"_{s}{k}", ignorenulls=True).over(upto) for k in widths for s in "hl"})
+    df = df.withColumns({f"_{s}j{k}": F.col(f"_{s}{k}.j") for k in widths for s in "hl"})
     inside = F.col("t").between(to_minutes(window_start), to_minutes(window_end))
-    long = inside & (F.col("close") > F.col("_high.body_extreme"))
-    short = inside & (F.col("close") < F.col("_low.body_extreme"))
-    first_long = F.min(F.when(long, F.col("bar_index"))).over(Window.partitionBy("symbol", "d", "_hj"))
-    first_short = F.min(F.when(short, F.col("bar_index"))).over(Window.partitionBy("symbol", "d", "_lj"))
-    df = df.withColumns({"_fl": first_long, "_fs": first_short})
-    fired = F.array_compact(F.array(
-        F.when(long & (F.col("bar_index") == F.col("_fl")), _trigger("long", k)),
-        F.when(short & (F.col("bar_index") == F.col("_fs")), _trigger("short", k)),
-    ))
-    return df.select("symbol", "d", F.explode(fired).alias("g")).select("symbol", "d", "g.*").withColumnRenamed("d", "date")
-
-
-def _trigger(direction: str, k: int) -> Column:
-    level, guard = (F.col("_high"), F.col("_low")) if direction == "long" else (F.col("_low"), F.col("_high"))
+    fired, first = [], {}
+    for k in widths:
+        high, low = F.col(f"_h{k}"), F.col(f"_l{k}")
+        for side, broke, level, guard in (
+            ("long", F.col("close") > high["body_extreme"], high, low), ("short", F.col("close") < low["body_extreme"], low, high),
+        ):
+            hit = inside & broke
+            stretch = Window.partitionBy("symbol", "d", f"_{'h' if side == 'long' else 'l'}j{k}")
+            name = f"_first_{side}{k}"
+            first[name] = F.min(F.when(hit, F.col("bar_index"))).over(stretch)
+            fired.append(F.when(hit & (F.col("bar_index") == F.col(name)), _trigger(side, k, level, guard)))
+    df = df.withColumns(first)
+    out = df.select("symbol", F.col("d").alias("date"), F.explode(F.array_compact(F.array(*fired))).alias("g"))
+    return out.select("symbol", "date", "g.*")
+
+
+def _trigger(direction: str, k: int, level: Column, guard: Column) -> Column:
     entry, span = F.col("close"), F.col("high") - F.col("low")
     third, own = (F.col("low_back"), F.col("low")) if direction == "long" else (F.col("high_back"), F.col("high"))
 
@@ -133,7 +133,7 @@ def _trigger(direction: str, k: int) -> Column:
         return ratio(F.abs(entry - stop), entry)
 
     return F.struct(
-        F.lit(direction).alias("direction"), F.col("bar_index").alias("bar_index"), F.col("t").alias("trigger_t"),
+        F.lit(k).alias("k"), F.lit(direction).alias("direction"), F.col("bar_index").alias("bar_index"), F.col("t").alias("trigger_t"),
         hhmm(F.col("t")).alias("trigger_time"),
         F.when(entry > F.col("open_0915"), "above").otherwise("below").alias("pos_vs_open"), F.col("open_0915").alias("open_0915"),
         level["body_extreme"].alias("level_price"), hhmm(level["pivot_t"]).alias("swing_candle_time"),

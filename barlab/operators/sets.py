@@ -41,14 +41,16 @@ def to_wide(long: DataFrame, keys: Sequence[str], metric: str, value: str, metri
 
 
 def longest_streak(df: DataFrame, keys: Sequence[str], order: Sequence[str], condition: Column) -> DataFrame:
-    """Length of the longest unbroken run of ``condition`` (gaps and islands)."""
-    part = list(keys) or [F.lit(0)]
-    base = df.withColumn("_c", F.coalesce(condition, F.lit(False)))
-    w = Window.partitionBy(*part).orderBy(*order)
-    inner = Window.partitionBy(*part, "_c").orderBy(*order)
-    islands = base.withColumn("_island", F.row_number().over(w) - F.row_number().over(inner))
-    runs = islands.groupBy(*keys, "_c", "_island").agg(F.count(F.lit(1)).alias("_len"))
-    return runs.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("_c"), F.col("_len"))), F.lit(0)).alias("longest_streak"))
+    """Length of the longest unbroken run of ``condition``.
+
+    The distance to the last row that broke the run is the run length, so one
+    ordered window and one aggregate are enough.
+    """
+    w = Window.partitionBy(*(list(keys) or [F.lit(0)])).orderBy(*order)
+    numbered = df.withColumns({"_c": F.coalesce(condition, F.lit(False)), "_i": F.row_number().over(w)})
+    broken = F.last(F.when(~F.col("_c"), F.col("_i")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    runs = numbered.withColumn("_run", F.col("_i") - F.coalesce(broken, F.lit(0)))
+    return runs.groupBy(*keys).agg(F.max("_run").alias("longest_streak"))
 
 
 def drawdown(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: str) -> DataFrame:

@@ -12,7 +12,6 @@ from barlab.functions.scalars import hhmm, to_minutes
 from barlab.functions.windows import nonzero
 from barlab.operators.joins import latest_at_or_before
 from barlab.operators.selection import first_per_day
-from barlab.operators.sets import drawdown, longest_streak
 
 EPS = 1e-9
 
@@ -28,7 +27,7 @@ class TradeConfig:
     force_close: str = "15:00"
 
 
-KEY = ["symbol", "date", "direction", "trigger_t"]
+KEY = ["symbol", "date", "k", "direction", "trigger_t"]
 
 
 def choose_stop(found: DataFrame) -> DataFrame:
@@ -170,30 +169,39 @@ METRICS = (
 
 
 def trade_metrics(log: DataFrame, variant: str, n_days: Column) -> DataFrame:
-    """Headline metrics per variant; a log holds at most one trade per day and variant."""
+    """Headline metrics per variant; a log holds at most one trade per day and variant.
+
+    Equity, drawdown and losing runs all come from one window order, so the
+    log is sorted once and aggregated once.
+    """
     r = F.col("realized_R")
-    reason = {x: F.count_if(F.col("exit_reason") == x) for x in ("target", "stop", "breakeven", "time")}
+    w = Window.partitionBy(variant).orderBy("date")
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    curve = log.withColumns({"_i": F.row_number().over(w), "_eq": F.sum(r).over(upto)})
+    curve = curve.withColumns({"_peak": F.max("_eq").over(upto), "_old": F.max("_eq").over(before)})
+    new_peak = F.col("_old").isNull() | (F.col("_eq") > F.col("_old"))
+    curve = curve.withColumns({
+        "_peak_i": F.last(F.when(new_peak, F.col("_i")), ignorenulls=True).over(upto),
+        "_safe_i": F.last(F.when(F.coalesce(r >= 0, F.lit(True)), F.col("_i")), ignorenulls=True).over(upto),
+    })
+    # the first of the deepest points, with the distance to its peak
+    depth = F.struct((F.col("_peak") - F.col("_eq")).alias("dd"), (-F.col("_i")).alias("i"), (F.col("_i") - F.col("_peak_i")).alias("span"))
     n = F.count(F.lit(1))
-    head = log.groupBy(variant).agg(
+    by_reason = {x: F.count_if(F.col("exit_reason") == x) for x in ("target", "stop", "breakeven", "time")}
+    out = curve.groupBy(variant).agg(
         n.alias("n_trades"), F.avg(r).alias("expectancy_R"), F.sum(r).alias("total_R"),
         (F.count_if(r > 0) / n).alias("win_rate"),
         F.coalesce(F.avg(F.when(r > 0, r)), F.lit(0.0)).alias("avg_win_R"),
         F.coalesce(F.avg(F.when(r < 0, r)), F.lit(0.0)).alias("avg_loss_R"),
-        *[(c / n).alias(f"pct_{x}") for x, c in reason.items()], reason["breakeven"].alias("n_breakeven"),
-        F.avg(F.when(F.col("exit_reason") == "time", r)).alias("time_close_mean_R"),
+        *[(c / n).alias(f"pct_{x}") for x, c in by_reason.items()], by_reason["breakeven"].alias("n_breakeven"),
+        F.avg(F.when(F.col("exit_reason") == "time", r)).alias("time_close_mean_R"), F.max(depth).alias("_deep"),
+        F.max(F.col("_i") - F.coalesce("_safe_i", F.lit(0))).alias("longest_losing_streak"),
         F.avg("stop_dist_pct").alias("avg_stop_dist_pct"), F.count_if(F.col("direction") == "long").alias("n_long"),
         F.count_if(F.col("direction") == "short").alias("n_short"), F.count_if("tie_stopfirst").alias("n_tie_stopfirst"),
-    ).withColumn("no_trade_days", n_days - F.col("n_trades"))
-    curve = drawdown(log, [variant], ["date"], "realized_R")
-    curve = curve.withColumn("_i", F.row_number().over(Window.partitionBy(variant).orderBy("date")))
-    trough = curve.withColumn("_at", F.max(F.struct(F.col("drawdown"), (-F.col("_i")).alias("neg"), F.col("peak"))).over(Window.partitionBy(variant)))
-    dd = trough.groupBy(variant).agg(
-        F.max("_at.drawdown").alias("max_drawdown_R"),
-        (-F.max("_at.neg") - F.min(F.when(F.col("equity") == F.col("_at.peak"), F.col("_i")))).alias("_dur"),
     )
-    dd = dd.withColumn("max_dd_duration_trades", F.greatest("_dur", F.lit(0))).drop("_dur")
-    streak = longest_streak(log, [variant], ["date"], r < 0).withColumnRenamed("longest_streak", "longest_losing_streak")
-    return head.join(dd, variant).join(streak, variant)
+    return out.withColumns({
+        "no_trade_days": n_days - F.col("n_trades"), "max_drawdown_R": F.col("_deep.dd"), "max_dd_duration_trades": F.col("_deep.span"),
+    }).drop("_deep")
 
 
 def compare_variants(metrics: DataFrame, variant: str, values: Sequence[str]) -> DataFrame:

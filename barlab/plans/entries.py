@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from barlab.functions.scalars import to_minutes
 from barlab.operators import geometry as G
 from barlab.operators import trades as TR
-from barlab.operators.sets import labelled_union
 from barlab.plans.ranking import long_rows
 from barlab.plans.registry import query
 from barlab.plans.relational import CPS
@@ -170,7 +169,7 @@ def measured(fx):
 
 
 def found(fx, k=1):
-    return G.triggers(measured(fx), k, START, END)
+    return G.triggers(measured(fx), [k], START, END)
 
 
 def prepared(fx, k=1):
@@ -194,17 +193,17 @@ def both_logs(fx):
     return TR.select_trades(rows, "A").unionByName(TR.select_trades(rows, "B"))
 
 
-def governed(fx, k):
-    return TR.with_governing_rank(TR.resolve(prepared(fx, k), fx.bars_intraday, CFG, breakeven=True), rolling(fx), CPS)
-
-
 def sweep(fx):
-    return labelled_union({f"K{k}": TR.select_rolling(governed(fx, k)) for k in SWEEP}, "filter")
+    """All fractal widths in one pass over the bars."""
+    ready = TR.prepare(G.triggers(measured(fx), SWEEP, START, END), fx.bars_intraday, CFG)
+    resolved = TR.resolve(ready, fx.bars_intraday, CFG, breakeven=True)
+    chosen = TR.select_rolling(TR.with_governing_rank(resolved, rolling(fx), CPS), ["k"])
+    return chosen.withColumn("filter", F.concat(F.lit("K"), F.col("k").cast("string")))
 
 
 _IND = "symbol ts:t"
-_STOPS = ("swing_stop_price_wick:r swing_stop_price_body:r third_back_stop_price:r bo_candle_stop_price:r stop_dist_swing_wick_pct:r "
-          "stop_dist_swing_body_pct:r stop_dist_thirdback_pct:r stop_dist_bocandle_pct:r")
+_STOPS = ("swing_stop_price_wick:r swing_stop_price_body:r third_back_stop_price:r bo_candle_stop_price:r stop_dist_swing_wick_pct:r7 "
+          "stop_dist_swing_body_pct:r7 stop_dist_thirdback_pct:r7 stop_dist_bocandle_pct:r7")
 _TRIG = ("date:d trigger_time symbol direction pos_vs_open open_0915:r level_price:r swing_candle_time swing_candle_color "
          "bars_since_swing:i bo_open:r bo_high:r bo_low:r bo_close:r bo_range:r entry_price:r atr_at_entry:r avg_range_at_entry:r "
          "atr_ratio:r range_ratio:r " + _STOPS)
