@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from barlab.functions.scalars import hhmm, to_minutes
 from barlab.functions.windows import nonzero
 from barlab.operators.joins import latest_at_or_before
-from barlab.operators.selection import first_per_day
 
 EPS = 1e-9
 
@@ -137,11 +136,12 @@ def resolve(prepared: DataFrame, bars: DataFrame, cfg: TradeConfig, breakeven: b
     return out.drop("_forced", "_forced_open", "_stop", "_target", "_stop_armed", "_last", "_last_close", "_won")
 
 
-def select_trades(resolved: DataFrame, which: str) -> DataFrame:
-    """The first fully qualifying trigger of each day for one momentum filter."""
-    q = resolved.where(F.col("qual_huge") & F.col("qual_stop") & F.col(f"filter{which}_ok"))
-    order = [F.col("trigger_t"), F.col("r_rank"), F.col("symbol"), F.col("direction")]
-    return first_per_day(q, order).withColumn("filter", F.lit(which))
+def select_trades(resolved: DataFrame, filters: Sequence[str] = ("A", "B")) -> DataFrame:
+    """The first fully qualifying trigger of each day, for each momentum filter in one pass."""
+    passed = F.array_compact(F.array(*[F.when(F.col(f"filter{f}_ok"), F.lit(f)) for f in filters]))
+    q = resolved.where(F.col("qual_huge") & F.col("qual_stop")).withColumn("filter", F.explode(passed))
+    w = Window.partitionBy("filter", "date").orderBy("trigger_t", "r_rank", "symbol", "direction")
+    return q.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
 def with_governing_rank(resolved: DataFrame, basket: DataFrame, checkpoints: Sequence[str]) -> DataFrame:

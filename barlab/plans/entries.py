@@ -189,8 +189,7 @@ def enriched(fx):
 
 
 def both_logs(fx):
-    rows = enriched(fx)
-    return TR.select_trades(rows, "A").unionByName(TR.select_trades(rows, "B"))
+    return TR.select_trades(enriched(fx), ("A", "B"))
 
 
 def sweep(fx):
