@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["bars", "relational", "market_days", "ranking", "entries", "panels", "checks"]
+FAMILIES = ["bars", "relational", "market_days", "ranking", "entries", "panels", "checks", "learning"]
 
 
 def all_queries():
