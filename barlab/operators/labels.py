@@ -22,21 +22,19 @@ def contamination_by_position(days: DataFrame, actions: DataFrame, lookback: int
 
     From the first row on or after the ex-date, ``lookback + 1`` rows are
     flagged, one less when the symbol has no row on the ex-date itself. The
-    ex-dates are laid into the day series as markers and the distance to each
-    is read off a running position, so no row is joined to another.
+    ex-dates are stacked into the day series as marker rows, so one window
+    order per symbol answers it without joining rows to each other.
     """
-    markers = actions.select("symbol", F.col("ex_date").alias(day)).distinct().withColumn("_marker", F.lit(True))
-    real = days.withColumn("_real", F.lit(True))
-    laid = real.join(markers, ["symbol", day], "full")
-    w = Window.partitionBy("symbol").orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
-    # rows so far, counting this one: a marker without a row points at the next row
-    position = F.count("_real").over(w)
-    laid = laid.withColumn("_pos", position)
-    start = F.when(F.col("_marker"), F.when(F.col("_real"), F.col("_pos")).otherwise(F.col("_pos") + 1))
-    reach = F.when(F.col("_marker"), start + F.when(F.col("_real"), lookback).otherwise(lookback - 1))
-    laid = laid.withColumn("_until", F.max(reach).over(w))
-    flagged = laid.where("_real").withColumn("contaminated", F.coalesce(F.col("_pos") <= F.col("_until"), F.lit(False)))
-    return flagged.drop("_real", "_marker", "_pos", "_until")
+    markers = actions.select("symbol", F.col("ex_date").alias(day)).distinct().withColumn("_real", F.lit(0))
+    laid = days.withColumn("_real", F.lit(1)).unionByName(markers, allowMissingColumns=True)
+    w = Window.partitionBy("symbol").orderBy(day, "_real")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    laid = laid.withColumns({"_pos": F.sum("_real").over(upto), "_next": F.lead(day).over(w)})
+    # a marker sorts before a row of its own date and points at the row after it
+    reach = F.col("_pos") + 1 + F.when(F.col("_next") == F.col(day), lookback).otherwise(lookback - 1)
+    laid = laid.withColumn("_until", F.max(F.when(F.col("_real") == 0, reach)).over(upto))
+    flagged = laid.where("_real = 1").withColumn("contaminated", F.coalesce(F.col("_pos") <= F.col("_until"), F.lit(False)))
+    return flagged.drop("_real", "_pos", "_next", "_until")
 
 
 def add_labels(

@@ -23,8 +23,8 @@ MIN_HISTORY = 60
 REGIME_EDGES = (0.25, 0.50, 0.75)
 
 
-def expanding_rank(df: DataFrame, value: str, min_rows: int, name: str, key: str = "symbol", order: str = "date") -> DataFrame:
-    """Average-rank percentile of the previous value within the history up to it.
+def expanding_ranks(df: DataFrame, value: str, min_rows: int, name: str, key: str = "symbol", order: str = "date") -> DataFrame:
+    """Average-rank percentile of the previous value within the history up to it, as (key, order, name).
 
     A sorted structure per key makes this n log n, while the window form
     copies the whole history into every row. A key's rows are its trading
@@ -40,8 +40,11 @@ def expanding_rank(df: DataFrame, value: str, min_rows: int, name: str, key: str
     narrow = df.select(F.col(key).alias("k"), order, F.col(value).cast("double").alias("v"))
     kinds = dict(df.dtypes)
     ranked = narrow.groupBy("k").applyInPandas(ranks, f"k {kinds[key]}, {order} {kinds[order]}, {name} double")
-    clean = ranked.select(F.col("k").alias(key), order, F.when(~F.isnan(name), F.col(name)).alias(name))
-    return df.join(clean, [key, order], "left")
+    return ranked.select(F.col("k").alias(key), order, F.when(~F.isnan(name), F.col(name)).alias(name))
+
+
+def expanding_rank(df: DataFrame, value: str, min_rows: int, name: str, key: str = "symbol", order: str = "date") -> DataFrame:
+    return df.join(expanding_ranks(df, value, min_rows, name, key, order), [key, order], "left")
 
 
 def return_features(bars: DataFrame) -> DataFrame:
@@ -96,12 +99,16 @@ def volatility_features(bars: DataFrame) -> DataFrame:
     return out.drop("_tr", "_hl2")
 
 
-def regime_features(bars: DataFrame) -> DataFrame:
-    """Where yesterday's long volatility sits in the symbol's own history."""
-    out = expanding_rank(bars, "rvol_20d", MIN_HISTORY, "vol_regime")
+def regime_columns(bars: DataFrame) -> DataFrame:
+    """Where yesterday's long volatility sits in the symbol's own history, keyed by (symbol, date)."""
+    out = expanding_ranks(bars, "rvol_20d", MIN_HISTORY, "vol_regime")
     return out.withColumn("vol_regime_bucket", bucket_index(F.col("vol_regime"), REGIME_EDGES).cast("double"))
 
 
+def regime_features(bars: DataFrame) -> DataFrame:
+    return bars.join(regime_columns(bars), ["symbol", "date"], "left")
+
+
 def volume_features(bars: DataFrame) -> DataFrame:
     w = series()
     v = F.col("volume").cast("double")
@@ -252,10 +259,10 @@ def relative_features(panel: DataFrame) -> DataFrame:
     })
 
 
-def daily_features(bars: DataFrame) -> DataFrame:
-    """Return, candle, volatility, regime, volume and trend families."""
+def window_families(bars: DataFrame) -> DataFrame:
+    """Return, candle, volatility, volume, trend and swing families: one exchange, one sort."""
     out = volatility_features(candle_shape(return_features(bars)))
-    return regime_features(trend_features(volume_features(out)))
+    return swing_geometry(trend_features(volume_features(out)))
 
 
 def feature_panel(
@@ -266,12 +273,19 @@ def feature_panel(
     first_hour_end: str = "10:15",
     last_hour_start: str = "14:30",
 ) -> DataFrame:
-    """All families joined on (symbol, date); missing values stay null."""
-    panel = swing_geometry(daily_features(bars_daily))
+    """All families on (symbol, date); missing values stay null.
+
+    Everything ordered by symbol runs first, market rows join by broadcast in
+    between (one per date), and the two joins on (symbol, date) come last, so
+    the wide rows are exchanged twice in all.
+    """
+    market = F.broadcast(market_features(index_daily, vix_daily))
+    core = window_families(bars_daily)
+    panel = relative_features(core.join(market, "date", "left"))
+    panel = panel.join(regime_columns(core), ["symbol", "date"], "left")
     if intraday is not None:
         panel = panel.join(intraday_features(intraday, first_hour_end, last_hour_start), ["symbol", "date"], "left")
-    panel = panel.join(F.broadcast(market_features(index_daily, vix_daily)), "date", "left")
-    return panel_calendar(relative_features(panel))
+    return panel_calendar(panel)
 
 
 # the two learning matrices

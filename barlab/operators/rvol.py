@@ -81,6 +81,8 @@ def baseline_over(days: DataFrame, condition: Column, values: dict[str, Column],
 def day_table(bars: DataFrame, actions: DataFrame, cfg: RankingConfig) -> DataFrame:
     """Symbol-days with baselines, R per checkpoint, eligibility and day outcomes."""
     days = symbol_days(bars, cfg.checkpoints, cfg.move_threshold)
+    # windows by symbol come first; the baseline's finer key then needs no exchange of its own
+    days = contamination_by_position(days, actions, cfg.lookback, "d").withColumnRenamed("contaminated", "corp_contaminated")
     days = days.withColumn("normal_session", normal_session(cfg.min_bars, cfg.close_after))
     volumes = {}
     for cp in cfg.checkpoints:
@@ -90,7 +92,6 @@ def day_table(bars: DataFrame, actions: DataFrame, cfg: RankingConfig) -> DataFr
     days = baseline_over(
         days, F.col("normal_session"), {f"base_{label(c)}": F.col(f"cv_{label(c)}") for c in cfg.checkpoints}, cfg.lookback
     )
-    days = contamination_by_position(days, actions, cfg.lookback, "d").withColumnRenamed("contaminated", "corp_contaminated")
     first = label(cfg.checkpoints[0])
     opened = F.col("open_0915")
     days = days.withColumns({

@@ -35,11 +35,23 @@ HOLIDAYS = [
 ]
 
 
+def packed(ts: str, number: str) -> Column:
+    """A timestamp and a non-negative 64-bit number as one ordered decimal.
+
+    16 digits of microseconds and 19 of the number fit 38; a fixed-width order
+    keeps first and last inside a hash aggregate instead of a sorted one.
+    """
+    since = F.col(ts) - F.lit("1970-01-01").cast("timestamp_ntz")
+    micros = (since.cast("interval second").cast("decimal(18,6)") * 1_000_000).cast("decimal(18,0)")
+    shifted = (micros * F.lit("1" + "0" * 19).cast("decimal(20,0)")).cast("decimal(38,0)")
+    return (shifted + F.col(number).cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def ticks_to_bars(
-    ticks: DataFrame, keys: list[str], price: str, volume: Column, order: list[str]
+    ticks: DataFrame, keys: list[str], price: str, volume: Column, order: list[str] | Column
 ) -> DataFrame:
     """Open, high, low, close and volume per key; first and last by ``order``."""
-    at = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    at = order if isinstance(order, Column) else F.struct(*order) if len(order) > 1 else F.col(order[0])
     return ticks.groupBy(*keys).agg(
         F.min_by(price, at).alias("open"),
         F.max(price).alias("high"),
@@ -85,7 +97,7 @@ class Fixtures:
         """Hourly bars with the columns symbol, ts, d, t (minutes) and OHLCV."""
         bars = ticks_to_bars(
             self._event_ticks.withColumnRenamed("ts", "at"), ["symbol", "bar"], "price",
-            F.count(F.lit(1)), ["at", "event_id"],
+            F.count(F.lit(1)), packed("at", "event_id"),
         )
         return _clocked(bars, ["symbol"])
 
@@ -96,7 +108,7 @@ class Fixtures:
         scopes = F.explode(F.array(F.col("event_type"), F.lit("ALL")))
         bars = ticks_to_bars(
             ticks.withColumn("benchmark_index", scopes), ["benchmark_index", "bar"], "price",
-            F.count(F.lit(1)), ["at", "event_id"],
+            F.count(F.lit(1)), packed("at", "event_id"),
         )
         return _clocked(bars, ["benchmark_index"])
 
@@ -174,15 +186,17 @@ class Fixtures:
 
     @cached_property
     def holidays(self) -> DataFrame:
-        return self.spark.createDataFrame(HOLIDAYS, "date string, holiday_name string").withColumn(
-            "date", F.to_date("date")
-        )
+        return self._literal(HOLIDAYS, ["date", "holiday_name"]).withColumn("date", F.to_date("date"))
 
     @cached_property
     def corp_actions(self) -> DataFrame:
-        return self.spark.createDataFrame(
-            CORPORATE_ACTIONS, "symbol string, ex_date string, action_type string, ratio double"
-        ).withColumn("ex_date", F.to_date("ex_date"))
+        rows = self._literal(CORPORATE_ACTIONS, ["symbol", "ex_date", "action_type", "ratio"])
+        return rows.withColumn("ex_date", F.to_date("ex_date"))
+
+    def _literal(self, rows: list[tuple], names: list[str]) -> DataFrame:
+        """A constant relation, whose size the planner knows."""
+        structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows]
+        return self.spark.range(1).select(F.inline(F.array(*structs)))
 
 
 def _clocked(bars: DataFrame, keys: list[str]) -> DataFrame:
