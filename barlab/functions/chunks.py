@@ -29,6 +29,20 @@ def with_position(bars: DataFrame, key: str = "symbol", day: str = "d", ts: str
     )
 
 
+def with_previous(bars: DataFrame, value: str, name: str, key: str = "symbol", day: str = "d", ts: str = "ts") -> DataFrame:
+    """Add the value of the bar before, across days, with windows no longer than a day.
+
+    The first bar of a day takes the last value of the key's previous day from
+    a table with one row per key and day.
+    """
+    ends = bars.groupBy(key, day).agg(F.max_by(value, ts).alias("_end"))
+    before = ends.select(key, day, F.lag("_end").over(Window.partitionBy(key).orderBy(day)).alias("_before"))
+    w = Window.partitionBy(key, day).orderBy(ts)
+    joined = bars.join(before, [key, day])
+    first = F.row_number().over(w) == 1
+    return joined.withColumn(name, F.when(first, F.col("_before")).otherwise(F.lag(value).over(w))).drop("_before")
+
+
 def with_chunks(positioned: DataFrame, halo: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add ``chunk`` and ``own``; halo copies have ``own`` false."""
     if halo >= chunk_rows:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlab.functions.chunks import with_previous
 from barlab.functions.scalars import minutes, to_minutes
 from barlab.functions.windows import ratio
 from barlab.operators.joins import expected_slots
@@ -63,6 +64,12 @@ def spike_rows(bars: DataFrame, threshold: float, keys: Sequence[str], order: st
     return bars.withColumn("change", change).where(F.col("change") > threshold)
 
 
+def intraday_spike_rows(bars: DataFrame, threshold: float) -> DataFrame:
+    """Jumps between neighbouring bars of long series, overnight ones included, one day per window."""
+    seen = with_previous(bars, "close", "_prev")
+    return seen.withColumn("change", F.abs(ratio(F.col("close"), F.col("_prev")) - 1)).where(F.col("change") > threshold).drop("_prev")
+
+
 def spikes(bars: DataFrame, threshold: float, keys: Sequence[str], order: str, shown: int = 10) -> DataFrame:
     """Number of jumps per instrument and the first few times; only those few are collected."""
     hits = spike_rows(bars, threshold, keys, order)

@@ -195,6 +195,22 @@ def _(fx):
     return B.upsert_bars(*_upsert_inputs(fx), ["symbol", "date"], incoming_wins=False)
 
 
+@query("snk04_merge_unique", f"symbol date:d {OHLCV}", _UPSERT.format(edge="1999-06-01"))
+def _(fx):
+    return B.merge_unique(*_upsert_inputs(fx), ["symbol", "date"])
+
+
+@query("snk04_upsert_table", f"symbol ts:t {OHLCV}",
+       """SELECT * REPLACE (CASE WHEN ts >= TIMESTAMP '1999-06-01' THEN close + 1 ELSE close END AS close) FROM x_store
+          WHERE asset_type = 'stock' AND timeframe = 'daily'""")
+def _(fx):
+    root = new_path(fx.spark, "bars")
+    old, new = (df.withColumn("ts", F.col("date").cast("timestamp_ntz")) for df in _upsert_inputs(fx))
+    B.write_bars(old, root, "stock", "daily")
+    B.upsert_table(fx.spark, root, new, "stock", "daily")
+    return B.load_bars(fx.spark, root, asset_type="stock", timeframe="daily")
+
+
 @query("snk05_date_chunks", "symbol chunk_start:d chunk_end:d",
        """SELECT symbol, CAST(c AS DATE) AS chunk_start, least(CAST(c AS DATE) + 59, hi) AS chunk_end FROM (
             SELECT symbol, hi, unnest(range(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP) + INTERVAL 1 DAY, INTERVAL 60 DAY)) AS c

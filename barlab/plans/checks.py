@@ -76,6 +76,13 @@ def _(fx):
     return found.withColumn("shown", F.array_join(F.transform("first_spikes", lambda d: d.cast("string")), ","))
 
 
+@query("dqa05_intraday_spikes", "symbol ts:t change:r",
+       """SELECT symbol, ts, change FROM (SELECT *, abs(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1) AS change FROM x_hours)
+          WHERE change > 3""")
+def _(fx):
+    return Q.intraday_spike_rows(fx.bars_intraday, 3.0)
+
+
 @query("dqa06_duplicate_ts", "symbol duplicates:i",
        """SELECT symbol, count(*) - count(DISTINCT date) AS duplicates FROM (
             SELECT symbol, date FROM x_bars UNION ALL SELECT symbol, date FROM x_bars WHERE volume > 200) GROUP BY 1""")
@@ -154,8 +161,9 @@ def _(fx):
     return Q.unsorted_rows(placed, ["user_id"], "slot")
 
 
-@query("dqa12_detect_corp_actions", "symbol date:d",
-       """SELECT symbol, date FROM (SELECT *, open / lag(close) OVER (PARTITION BY symbol ORDER BY date) AS ratio FROM x_bars)
+@query("dqa12_detect_corp_actions", "symbol date:d ratio:r4 prev_close:r2 open:r2 close:r2",
+       """SELECT symbol, date, round_even(ratio, 4) AS ratio, round_even(prev_close, 2) AS prev_close, round_even(open, 2) AS open,
+          round_even(close, 2) AS close FROM (SELECT *, open / prev_close AS ratio FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS prev_close FROM x_bars))
           WHERE ratio < 0.75 OR ratio > 1.25""")
 def _(fx):
     return Q.detect_corporate_actions(fx.bars_daily)

@@ -218,18 +218,42 @@ def write_csv(summary: DataFrame, path: str) -> None:
 def upsert_bars(existing: DataFrame, incoming: DataFrame, keys: list[str], incoming_wins: bool = True) -> DataFrame:
     """Union with one row per key; the incoming row wins, or the existing one on backfill.
 
-    ``max_by`` on a constant rank combines on the map side, so a re-sent hot
-    key is folded before the shuffle.
+    Keys are nearly unique, so one exchange and one sort by key is cheaper
+    than an aggregate that would sort on both sides of the exchange.
     """
     columns = existing.columns
-    rest = [c for c in columns if c not in keys]
     both = existing.withColumn("_rank", F.lit(0)).unionByName(
         incoming.select(*columns).withColumn("_rank", F.lit(1 if incoming_wins else -1))
     )
     # equal rank falls to the largest row, so the pick does not depend on input order
-    order = F.struct("_rank", *rest)
-    picked = both.groupBy(*keys).agg(F.max(order).alias("_row"))
-    return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*columns)
+    order = [F.desc("_rank"), *[F.desc(c) for c in columns if c not in keys]]
+    return keep_latest(both, keys, order).select(*columns)
+
+
+def merge_unique(existing: DataFrame, incoming: DataFrame, keys: list[str], incoming_wins: bool = True) -> DataFrame:
+    """The same for two sides that are unique by key already.
+
+    An anti-join instead of a sort: a small side is broadcast once its size
+    is known, and the large side is not exchanged at all.
+    """
+    first, second = (incoming, existing) if incoming_wins else (existing, incoming)
+    rest = second.select(*existing.columns).join(first.select(*keys), keys, "left_anti")
+    return first.select(*existing.columns).unionByName(rest)
+
+
+def upsert_table(spark: SparkSession, root: str, incoming: DataFrame, asset_type: str, timeframe: str,
+                 incoming_wins: bool = True) -> None:
+    """Upsert into the stored bars, rewriting only the years that ``incoming`` touches."""
+    from barlab.session import materialise
+
+    years = [r[0] for r in incoming.select(F.year("ts").alias("y")).distinct().collect()]
+    stored = spark.read.schema(BAR_SCHEMA).parquet(root).where(
+        (F.col("asset_type") == asset_type) & (F.col("timeframe") == timeframe) & F.col("year").isin(years)
+    )
+    columns = ["symbol", "ts", "open", "high", "low", "close", "volume"]
+    merged = upsert_bars(stored.select(*columns), incoming.select(*columns), ["symbol", "ts"], incoming_wins)
+    # staged first, because the folders being replaced are also being read
+    write_bars(materialise(merged, "upsert"), root, asset_type, timeframe)
 
 
 def date_chunks(ranges: DataFrame, start: str, end: str, max_days: int) -> DataFrame:
