@@ -161,9 +161,8 @@ def _(fx):
     return Q.unsorted_rows(placed, ["user_id"], "slot")
 
 
-@query("dqa12_detect_corp_actions", "symbol date:d ratio:r4 prev_close:r2 open:r2 close:r2",
-       """SELECT symbol, date, round_even(ratio, 4) AS ratio, round_even(prev_close, 2) AS prev_close, round_even(open, 2) AS open,
-          round_even(close, 2) AS close FROM (SELECT *, open / prev_close AS ratio FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS prev_close FROM x_bars))
+@query("dqa12_detect_corp_actions", "symbol date:d ratio:r4",
+       """SELECT symbol, date, ratio FROM (SELECT *, open / prev_close AS ratio FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS prev_close FROM x_bars))
           WHERE ratio < 0.75 OR ratio > 1.25""")
 def _(fx):
     return Q.detect_corporate_actions(fx.bars_daily)
