@@ -71,10 +71,7 @@ def _(fx):
         .repartition("folder").write.partitionBy("folder").parquet(root)
     symbols = [f"S{i}" for i in range(8)] + ["GONE"]
     found, _missing = B.existing_paths(fx.spark, root, [f"folder={s}" for s in symbols], "")
-    files = B.scan_files(fx.spark, found, r"folder=([^/]+)/").drop("folder")
-    columns = [files.columns[0]]
-    files = files.toDF(*columns, *[c if c != "symbol" else "stored_symbol" for c in files.columns[1:]])
-    return B.scan_universe(files, fx.universe)
+    return B.scan_universe(B.scan_files(fx.spark, found, r"folder=([^/]+)/"), fx.universe)
 
 
 @query("src04_scan_minutes", f"symbol ts:t {OHLCV}",

@@ -39,7 +39,7 @@ def _(fx):
 
 @query("mla02_kmeans_regimes", "k:i silhouette:r cost:r chosen:b")
 def _(fx):
-    return K.kmeans_regimes(market_days(fx), "date", MARKET, (3, 5))[0]
+    return K.kmeans_regimes(market_days(fx), "date", MARKET)[0]
 
 
 _DIST = " + ".join(f"pow(a.{z} - b.{z}, 2)" for z in ZS)
@@ -106,20 +106,20 @@ def _(fx):
 @query("mla06_stability", "stability_ari:r n_pairs:i")
 def _(fx):
     z = K.standardize(market_days(fx), MARKET)
-    return K.stability(z, "date", ZS, 3, seeds=(0, 1, 2))
+    return K.stability(z, "date", ZS, 3)
 
 
 _KEY = ["symbol", "date"]
 STOCK = list(P.STOCK_FEATURES)
 
 
-def forest(fx, rows, n_trees=60):
-    return AN.Forest(AN.grow_forest(rows, STOCK, _KEY, n_trees), STOCK)
+def forest(rows):
+    return AN.Forest(AN.grow_forest(rows, STOCK, _KEY), STOCK)
 
 
 def flagged(fx):
     rows = materialise(K.standardize(stock_days(fx), STOCK, "").select(*_KEY, *STOCK), "stockdays")
-    model = forest(fx, rows)
+    model = forest(rows)
     return materialise(AN.flag_anomalies(AN.score_rows(rows, model)), "anomalies"), model
 
 

@@ -72,7 +72,9 @@ def scan_files(spark: SparkSession, paths: list[str], symbol_pattern: str = r"/(
     if not paths:
         raise FileNotFoundError("no bar files for this universe")
     path = F.url_decode(F.col("_metadata.file_path"))
-    return spark.read.parquet(*paths).select(F.regexp_extract(path, symbol_pattern, 1).alias("symbol"), "*")
+    files = spark.read.parquet(*paths)
+    rest = [c for c in files.columns if c != "symbol"]
+    return files.select(F.regexp_extract(path, symbol_pattern, 1).alias("symbol"), *rest)
 
 
 def existing_paths(spark: SparkSession, root: str, symbols: list[str], name: str) -> tuple[list[str], list[str]]:
