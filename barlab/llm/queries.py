@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlab.llm import packing, quality, rans, tokens
+from barlab.llm import minhash, packing, quality, rans, tokens
 from barlab.llm.common import table
 from barlab.session import new_path
 
@@ -17,6 +17,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.digests(spark, folder)
 
 
+def op8_minhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,5 +30,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_files, op9_pairwise_quality, op10_best_fit_packing)
+    f.__name__: f for f in (op2_token_files, op8_minhash_duplicates, op9_pairwise_quality, op10_best_fit_packing)
 }
