@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlab.llm import minhash, packing, pii, quality, rans, tokens
+from barlab.llm import minhash, mixing, packing, pii, quality, rans, tokens
 from barlab.llm.common import table
 from barlab.session import new_path
 
@@ -21,6 +21,10 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,5 +38,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_files, op5_personal_data, op8_minhash_duplicates, op9_pairwise_quality, op10_best_fit_packing)
+    f.__name__: f for f in (op2_token_files, op5_personal_data, op7_source_mixing, op8_minhash_duplicates, op9_pairwise_quality, op10_best_fit_packing)
 }
