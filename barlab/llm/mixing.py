@@ -205,10 +205,11 @@ def mix(docs: DataFrame) -> DataFrame:
     joined = rows.join(
         chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_row")) & (F.col("_k") == F.col("_n"))
     )
-    split = words(F.col("text"))
-    piece = F.concat_ws(" ", F.flatten(F.transform("_parts", lambda p: F.slice(split, (p["from"] + 1).cast("int"), (p["upto"] - p["from"]).cast("int")))))
+    # the list of words is bound once, as the only element of an array
+    cut = lambda w: F.flatten(F.transform("_parts", lambda p: F.slice(w, (p["from"] + 1).cast("int"), (p["upto"] - p["from"]).cast("int"))))
+    piece = F.concat_ws(" ", F.flatten(F.transform(F.array(words(F.col("text"))), cut)))
     part = F.col("_words") < F.col("_size")
     out = joined.withColumn("text", F.when(part, piece).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(part, F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
+        out = out.withColumn("n_chars", F.when(part, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -282,8 +282,9 @@ def mask(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataF
     piece = lambda p: F.concat(F.substr(raw, (p["b"] + 1).cast("int"), (p["e"] - p["b"]).cast("int")), p["n"])
     pieces = F.transform(F.arrays_zip(begins.alias("b"), ends.alias("e"), names.alias("n")), piece)
     masked = F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(F.concat_ws("", pieces))
-    out = joined.withColumn(text, masked)
+    changed = {text: masked}
     if n_chars in docs.columns:
-        kind = dict(docs.dtypes)[n_chars]
-        out = out.withColumn(n_chars, F.when(F.col("_cuts").isNull(), F.col(n_chars)).otherwise(F.length(masked)).cast(kind))
+        size = F.when(F.col("_cuts").isNull(), F.col(n_chars)).otherwise(F.length(masked))
+        changed[n_chars] = size.cast(docs.schema[n_chars].dataType)
+    out = joined.withColumns(changed)
     return out.select(*docs.columns)
