@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlab.llm import imatch, minhash, mixing, packing, pii, quality, rans, tokens
+from barlab.llm import hnsw, imatch, minhash, mixing, packing, pii, quality, rans, tokens
 from barlab.llm.common import table
 from barlab.session import new_path
 
@@ -25,6 +25,10 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op6_hnsw_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_files, op4_imatch_fingerprints, op5_personal_data, op7_source_mixing, op8_minhash_duplicates, op9_pairwise_quality, op10_best_fit_packing)
+    f.__name__: f for f in (op2_token_files, op4_imatch_fingerprints, op5_personal_data, op6_hnsw_embeddings, op7_source_mixing, op8_minhash_duplicates, op9_pairwise_quality, op10_best_fit_packing)
 }
 
 #: SQL for those that SQL can express; the others are held against plain Python in tests/llm.
