@@ -9,8 +9,8 @@ collisions, with a margin of five standard deviations, and then confirmed on
 the full sets. At a similarity of 0.85 a pair misses all bands with a chance
 of 4e-7.
 
-A bucket never yields all its pairs. First each member meets the bucket's
-smallest document. Then only buckets that still hold several components are
+A bucket never yields all its pairs. First each document meets one other, the
+most central of its buckets. Then only buckets that still hold several components are
 looked at again, and there only documents of different components whose
 estimate is high enough leave the join; large buckets are salted.
 
@@ -126,9 +126,9 @@ def estimate(a: str, b: str) -> Column:
     return (equal / F.lit(float(MINIMA)) - 0.25) / 0.75
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs ``a``, ``b`` whose full shingle sets are similar enough."""
-    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidate-ids")
+def sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """The full shingle sets of the documents in ``ids`` (one column, doc_id)."""
+    ids = staged(ids.distinct(), "candidate-ids")
     small = ids.limit(SENT_IDS + 1).count() <= SENT_IDS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
     picked = texts.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
@@ -138,16 +138,45 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Data
             sets = pa.array((shingles(t.as_py()).view(np.int64) for t in batch["text"]), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], sets], names=["doc_id", "hashes"])
 
-    sets = staged(picked.mapInArrow(run, "doc_id long, hashes array<long>"), "sets")
+    return staged(picked.mapInArrow(run, "doc_id long, hashes array<long>"), "sets")
+
+
+def similar(x: str, y: str, percent: int) -> Column:
+    """Whether two sets are similar enough: 100 * shared >= percent * all."""
+    shared = F.size(F.array_intersect(x, y)).cast("long")
+    return shared * (100 + percent) >= (F.size(x) + F.size(y)).cast("long") * percent
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs ``a``, ``b`` whose full shingle sets are similar enough."""
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs)
     both = pairs.select("a", "b").join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
-    shared = F.size(F.array_intersect("x", "y")).cast("long")
-    sized = both.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).cast("long").alias("sum"))
-    return sized.where(F.expr(f"100 * shared >= {percent} * (sum - shared)")).select("a", "b").distinct()
+    return both.where(similar("x", "y", percent)).select("a", "b").distinct()
 
 
 def _near(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    both = pairs.join(marks.toDF("b", "bits_b"), "b").join(marks.toDF("a", "bits_a"), "a")
-    return both.where(estimate("bits_a", "bits_b") >= percent / 100 - MARGIN).select("a", "b").distinct()
+    """The distinct pairs whose estimate is high enough; the others never leave the second join."""
+    known = pairs.join(marks.toDF("b", "bits_b"), "b")
+    near = estimate("bits_a", "bits_b") >= percent / 100 - MARGIN
+    return known.join(marks.toDF("a", "bits_a"), "a").where(near).select("a", "b").distinct()
+
+
+def _crossing(rest: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between documents of different components in one bucket.
+
+    The join itself estimates and then confirms, so that only links leave it;
+    near copies just below the threshold are many pairs and no rows. Large
+    buckets are salted: one side goes to one block, the other to all.
+    """
+    full = rest.join(marks, "doc_id").join(sets, "doc_id")
+    blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
+    left = full.select("key", F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"), F.col("doc_id").alias("a"),
+                       F.col("part").alias("part_a"), F.col("bits").alias("bits_a"), F.col("hashes").alias("x"))
+    right = full.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("doc_id").alias("b"),
+                        F.col("part").alias("part_b"), F.col("bits").alias("bits_b"), F.col("hashes").alias("y"))
+    apart = (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b"))
+    near = estimate("bits_a", "bits_b") >= percent / 100 - MARGIN
+    return left.join(right, ["key", "block"]).where(apart & near & similar("x", "y", percent)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -159,31 +188,28 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     marks = reps.select("doc_id", "bits")
 
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("size"))
-    shared = staged(keys.join(buckets.where("last > pivot"), "key"), "buckets")
-    met = shared.where("doc_id > pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    buckets = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("size"))
+    shared = staged(keys.join(buckets.where("last > first").select("key", "size"), "key"), "buckets")
+    # first each document meets one other: of all in its buckets, the one whose own buckets are the largest. The text
+    # that near copies were made from is in the buckets of most of them, so they hang together by it at once
+    central = shared.groupBy("doc_id").agg(F.sum("size").alias("reach"))
+    heads = shared.join(central, "doc_id").groupBy("key").agg(F.max(F.struct("reach", (-F.col("doc_id")).alias("doc"))).alias("head"))
+    best = shared.join(heads, "key").groupBy("doc_id").agg(F.max("head").alias("head"))
+    met = best.select("doc_id", (-F.col("head.doc")).alias("head")).where("doc_id <> head")
+    met = met.select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b"))
     links = staged(confirmed(staged(_near(met, marks, percent), "met"), docs, percent), "first-links")
 
-    # buckets of three or more that the pivots have not joined into one component
+    # then the buckets that these links have not joined into one component
     parts = components(links)
-    open_keys = shared.where("size > 2").select("key", "size", "doc_id", "pivot")
-    placed = open_keys.join(parts, F.col("doc_id") == F.col("node"), "left").select(
-        "key", "size", "doc_id", "pivot", F.coalesce("component", "doc_id").alias("part")
-    )
-    placed = staged(placed, "placed")
+    placed = staged(
+        shared.select("key", "size", "doc_id").join(parts, F.col("doc_id") == F.col("node"), "left").select(
+            "key", "size", "doc_id", F.coalesce("component", "doc_id").alias("part")
+        ), "placed",
+    )
     many = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("key")
-    rest = placed.where("doc_id <> pivot").join(many, "key").join(marks, "doc_id")
-    blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
-    left = rest.select("key", F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"),
-                       F.col("doc_id").alias("a"), F.col("part").alias("part_a"), F.col("bits").alias("bits_a"))
-    right = rest.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"),
-                        F.col("doc_id").alias("b"), F.col("part").alias("part_b"), F.col("bits").alias("bits_b"))
-    crossing = left.join(right, ["key", "block"]).where(
-        (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & (estimate("bits_a", "bits_b") >= percent / 100 - MARGIN)
-    )
-    crossing = staged(crossing.select("a", "b").distinct(), "crossing")
-    if not crossing.isEmpty():
-        parts = components(links.unionByName(confirmed(crossing, docs, percent)))
+    rest = staged(placed.join(many, "key"), "unsettled")
+    if not rest.isEmpty():
+        parts = components(links.unionByName(_crossing(rest, marks, sets_of(rest.select("doc_id"), docs), percent)))
     found = known.select("doc_id", "n_shingles", "rep").join(parts, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("component", "rep", "doc_id")
     return found.select(
