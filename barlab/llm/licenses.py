@@ -26,7 +26,8 @@ LEAST = 0.6
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "BSD-3-Clause": "Redistribution and use in source and binary forms are permitted under the BSD License",
-    "CC-BY-4.0": "This work is licensed under the Creative Commons Attribution International License, version 4.0",
+    "CC-BY-4.0": "Licensed under CC BY 4.0",
+    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "MIT": "Released under the MIT License",
     "MPL-2.0": "This file is subject to the terms of the Mozilla Public License, version 2.0",
