@@ -20,8 +20,13 @@ from barlab.functions.windows import ratio, strict_peak
 from barlab.operators.aggregates import percentile_table
 from barlab.operators.selection import extremes, hash_sample
 
-# Weights of older rows fall below double precision after this many rows.
-ATR_HALO = 512
+# A seed's weight falls by exp(-1) every ``period`` rows; after so many times it is below double precision.
+ATR_TIMES = 45
+
+
+def atr_halo(period: int, back: int) -> int:
+    """Rows before a chunk that its smoothed values, its mean ranges and its look-back can depend on."""
+    return ATR_TIMES * period + max(period, back) + 1
 
 
 def indicators(bars: DataFrame, period: int = 14, back: int = 3, chunk_rows: int = 8192) -> DataFrame:
@@ -31,7 +36,8 @@ def indicators(bars: DataFrame, period: int = 14, back: int = 3, chunk_rows: int
     first chunk is seeded with the mean of its first ``period`` ranges, later
     chunks start in their halo, whose seed has no measurable weight left.
     """
-    chunks = with_chunks(with_position(bars), ATR_HALO, chunk_rows)
+    halo = atr_halo(period, back)
+    chunks = with_chunks(with_position(bars), halo, max(chunk_rows, 2 * halo))
     w = chunk_window()
     h, low, prev = F.col("high"), F.col("low"), F.lag("close").over(w)
     span = w.rowsBetween(-(period - 1), 0)

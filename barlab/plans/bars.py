@@ -27,6 +27,9 @@ def bar_store(fx: Fixtures) -> str:
     key = (fx.spark.sparkContext.applicationId, fx.folder)
     if key not in _STORES:
         root = new_path(fx.spark, "bars")
+        # more years first: a replace must leave none of them
+        later = daily_ts(fx).withColumn("ts", F.col("ts") + F.expr("interval 30 years"))
+        B.write_bars(later, root, "stock", "daily")
         B.write_bars(daily_ts(fx), root, "stock", "daily")
         B.write_bars(fx.bars_intraday, root, "stock", "60min")
         index = fx.index_daily.select(F.lit("INDEX").alias("symbol"), F.col("date").cast("timestamp_ntz").alias("ts"),

@@ -28,11 +28,16 @@ def build_session(app: str = "barlab", master: str | None = None, **conf: str) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests on one machine) a
-    temporary folder is made and remembered in the session.
+    Only where ``spark.checkpoint.dir`` is unset and the session is local
+    (tests on one machine) a temporary folder is made and remembered in the
+    session. On a cluster a folder of one machine would lose rows, so there
+    the setting is required.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("barlab.shared.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", None) or spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("barlab.shared.dir", base)
     return base.rstrip("/")

@@ -183,18 +183,28 @@ def describe_columns(df: DataFrame) -> DataFrame:
 # sinks
 
 
+def _laid_out(bars: DataFrame) -> DataFrame:
+    out = bars.select("symbol", "ts", "open", "high", "low", "close", "volume").withColumn("year", F.year("ts"))
+    return out.repartitionByRange("year", "symbol", "ts").sortWithinPartitions("year", "symbol", "ts")
+
+
 def write_bars(bars: DataFrame, root: str, asset_type: str, timeframe: str) -> None:
-    """Replace one asset type and timeframe; rows are spread by year and symbol range."""
+    """Replace one asset type and timeframe as a whole: years that ``bars`` lacks are gone afterwards."""
     _known(asset_type, ASSET_TYPES, "asset type")
     _known(timeframe, TIMEFRAMES, "timeframe")
-    out = bars.select("symbol", "ts", "open", "high", "low", "close", "volume").withColumns(
-        {"asset_type": F.lit(asset_type), "timeframe": F.lit(timeframe), "year": F.year("ts")}
+    (
+        _laid_out(bars).write.mode("overwrite").option("partitionOverwriteMode", "static")
+        .partitionBy("year").parquet(f"{root}/asset_type={asset_type}/timeframe={timeframe}")
     )
+
+
+def write_years(bars: DataFrame, root: str, asset_type: str, timeframe: str) -> None:
+    """Replace only the years of one asset type and timeframe that ``bars`` has."""
+    _known(asset_type, ASSET_TYPES, "asset type")
+    _known(timeframe, TIMEFRAMES, "timeframe")
     (
-        out.repartitionByRange("year", "symbol", "ts")
-        .sortWithinPartitions("year", "symbol", "ts")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("asset_type", "timeframe", "year").parquet(root)
+        _laid_out(bars).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("year").parquet(f"{root}/asset_type={asset_type}/timeframe={timeframe}")
     )
 
 
@@ -203,13 +213,15 @@ def write_panel(panel: DataFrame, path: str) -> None:
 
 
 def write_rs(rs: DataFrame, root: str) -> None:
-    """Replace only the (timeframe, benchmark) folders present in ``rs``."""
-    (
-        rs.select("symbol", "ts", "membership_type", "rs_value", "timeframe", "benchmark_index")
-        .repartitionByRange("timeframe", "benchmark_index", "symbol", "ts")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("timeframe", "benchmark_index").parquet(root)
-    )
+    """Replace every timeframe in ``rs`` as a whole: its benchmarks that ``rs`` lacks are gone afterwards."""
+    columns = ["symbol", "ts", "membership_type", "rs_value", "benchmark_index"]
+    for (timeframe,) in rs.select("timeframe").distinct().collect():  # at most as many as there are timeframes
+        (
+            rs.where(F.col("timeframe") == timeframe).select(*columns)
+            .repartitionByRange("benchmark_index", "symbol", "ts")
+            .write.mode("overwrite").option("partitionOverwriteMode", "static")
+            .partitionBy("benchmark_index").parquet(f"{root}/timeframe={timeframe}")
+        )
 
 
 def write_csv(summary: DataFrame, path: str) -> None:
@@ -255,7 +267,7 @@ def upsert_table(spark: SparkSession, root: str, incoming: DataFrame, asset_type
     columns = ["symbol", "ts", "open", "high", "low", "close", "volume"]
     merged = upsert_bars(stored.select(*columns), incoming.select(*columns), ["symbol", "ts"], incoming_wins)
     # staged first, because the folders being replaced are also being read
-    write_bars(materialise(merged, "upsert"), root, asset_type, timeframe)
+    write_years(materialise(merged, "upsert"), root, asset_type, timeframe)
 
 
 def date_chunks(ranges: DataFrame, start: str, end: str, max_days: int) -> DataFrame:
