@@ -315,7 +315,7 @@ def near_embeddings(rows: DataFrame, cosine: float = COSINE, shard_rows: int = S
     linked = found.groupBy("vec_id").agg(F.sum("linked").alias("linked"))
     members = units.join(reps.select("label", "unit", F.col("vec_id").alias("rep"), "copies"), ["label", "unit"], "left")
     joined = members.join(linked.withColumnRenamed("vec_id", "rep"), "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
-    component = F.coalesce("component", "rep", "vec_id")
+    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "rep", "vec_id"))
     return joined.select(
         "vec_id", (F.coalesce("linked", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),
         component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),

@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if not rest.isEmpty():
         parts = components(links.unionByName(_crossing(rest, marks, sets_of(rest.select("doc_id"), docs), percent)))
     found = known.select("doc_id", "n_shingles", "rep").join(parts, F.col("rep") == F.col("node"), "left")
-    component = F.coalesce("component", "rep", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return found.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )

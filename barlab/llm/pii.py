@@ -78,8 +78,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     """One row per candidate: doc_id and hash of its text, kind, start, end and the candidate's own text and surroundings."""
     text = F.col("text")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
-    # most texts hold none of the signs that all kinds need
-    read = read.where(text.rlike(r"[0-9]|[A-Fa-f]{24}"))
+    # a text without any of these signs has no candidate of any kind
+    read = read.where(text.rlike(r"[0-9@]|[A-Fa-f]{24}"))
     # texts are told apart by hash and length, so that rows that share a doc_id stay apart
     key = [F.col("doc_id"), F.xxhash64(text).alias("text_hash"), F.length(text).alias("n_chars")]
     # the gate of each kind is cheap; the pattern runs only behind it
