@@ -33,7 +33,7 @@ from math import ceil, sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlab.llm.common import staged, whole, words
+from barlab.llm.common import staged, whole, word_hashes
 
 MIN_DOCS = 2
 MAX_SHARE = 0.02
@@ -49,7 +49,7 @@ MAX_RANGES = 1 << 16
 
 def term_hashes(text: Column) -> Column:
     """Hashes of the distinct words, lower-cased."""
-    return F.transform(F.array_distinct(words(F.lower(text))), lambda w: F.xxhash64(w))
+    return word_hashes(F.lower(text))
 
 
 def frequencies(docs: DataFrame) -> DataFrame:
