@@ -321,9 +321,9 @@ def _(fx):
 
 @query("prj13_in_dates", "symbol date:d close:p",
        """SELECT symbol, date, close FROM x_bars WHERE date IN (SELECT date FROM x_index)
-          AND date NOT IN (SELECT date FROM x_events)""")
+          AND date NOT IN (SELECT date FROM x_events WHERE impact_level = 'high')""")
 def _(fx):
-    return L.in_dates(fx.bars_daily, keep=fx.index_daily, drop=fx.event_calendar)
+    return L.in_dates(fx.bars_daily, keep=fx.index_daily, drop=fx.event_calendar.where("impact_level = 'high'"))
 
 
 @query("prj14_chart_symbol", "p_partkey:i tv_symbol url",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from barlab.sources.fixtures import CORPORATE_ACTIONS, HOLIDAYS
+from barlab.sources.fixtures import CORPORATE_ACTIONS, HOLIDAYS, IMPACT_PRICES
 
 TABLES: dict[str, str] = {}
 
@@ -105,12 +105,11 @@ table("x_members", """
   WHERE symbol IN (SELECT symbol FROM x_hours)
   UNION ALL SELECT DISTINCT symbol, 'ALL', 'broad' FROM x_hours""")
 
-table("x_events", """
+table("x_events", f"""
   SELECT CAST(o_orderdate AS DATE) AS date, o_orderstatus AS event_type,
     'order ' || CAST(o_orderkey AS VARCHAR) AS description,
-    CASE WHEN rn <= 50 THEN 'high' WHEN rn <= 120 THEN 'medium' ELSE 'low' END AS impact_level
-  FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rn
-        FROM orders WHERE o_orderpriority = '1-URGENT') WHERE rn <= 200""")
+    CASE WHEN o_totalprice >= {IMPACT_PRICES["high"]} THEN 'high' WHEN o_totalprice >= {IMPACT_PRICES["medium"]} THEN 'medium' ELSE 'low' END AS impact_level
+  FROM orders WHERE o_orderpriority = '1-URGENT'""")
 
 table("x_holidays", f"SELECT CAST(date AS DATE) AS date, holiday_name FROM (VALUES {_rows(HOLIDAYS)}) AS h(date, holiday_name)")
 

@@ -225,8 +225,8 @@ def write_rs(rs: DataFrame, root: str) -> None:
 
 
 def write_csv(summary: DataFrame, path: str) -> None:
-    """Small report tables as one CSV file with a header."""
-    summary.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """A table as CSV files with a header, written by as many tasks as it has partitions."""
+    summary.write.mode("overwrite").csv(path, header=True)
 
 
 def upsert_bars(existing: DataFrame, incoming: DataFrame, keys: list[str], incoming_wins: bool = True) -> DataFrame:

@@ -20,6 +20,9 @@ CORPORATE_ACTIONS = [
     ("S3", "2024-01-20", "split", 2.0),
 ]
 
+#: Least price of an order whose event has high or medium impact.
+IMPACT_PRICES = {"high": 480_000, "medium": 400_000}
+
 # Ten weekdays without trading.
 HOLIDAYS = [
     ("1995-01-26", "Founders day"),
@@ -174,14 +177,13 @@ class Fixtures:
 
     @cached_property
     def event_calendar(self) -> DataFrame:
-        urgent = self.table("orders").where("o_orderpriority = '1-URGENT'")
-        top = urgent.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(200)
-        rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("o_totalprice"), "o_orderkey"))
-        return top.select(
+        """Every urgent order is an event; its price sets the impact."""
+        price = F.col("o_totalprice")
+        return self.table("orders").where("o_orderpriority = '1-URGENT'").select(
             F.col("o_orderdate").cast("date").alias("date"),
             F.col("o_orderstatus").alias("event_type"),
             F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("description"),
-            F.when(rank <= 50, "high").when(rank <= 120, "medium").otherwise("low").alias("impact_level"),
+            F.when(price >= IMPACT_PRICES["high"], "high").when(price >= IMPACT_PRICES["medium"], "medium").otherwise("low").alias("impact_level"),
         )
 
     @cached_property
