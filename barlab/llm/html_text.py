@@ -1,7 +1,8 @@
 """Main text of web pages by block rules in two passes.
 
-A small scanner cuts a page into blocks with what stands around them; all
-decisions are DataFrame work. The first pass decides blocks by where they
+A small scanner cuts a page into blocks with what stands around them, inside
+the task that reads the page: a page is one row, so its blocks need no shuffle
+and no table of their own. The first pass decides blocks by where they
 stand (menus, headers, footers, asides, forms, notices, adverts, comments), by
 link density, and by length and stop-word density together. What is left, short
 blocks and long ones with few stop words, takes the label of the nearest
@@ -22,11 +23,9 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlab.llm.common import staged
-
 LONG = 60
 STOP_DENSITY = 0.15
 LINK_DENSITY = 0.5
@@ -60,16 +59,20 @@ _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _HIDDEN = re.compile(r"""\shidden(?=[\s=>/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _SPACE = re.compile(r"\s+")
 _PARTS = re.compile(r"[a-z]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+#: Text, characters in links, stands aside, stands in the article.
+Block = tuple[str, int, bool, bool]
 
 
-def blocks_of(page: str, names: frozenset[str]) -> Iterator[tuple[str, int, bool, bool]]:
-    """(text, characters in links, stands aside, stands in the article) of every block that has text, in page order."""
+def blocks_of(page: str, names: frozenset[str]) -> Iterator[Block]:
+    """Every block that has text, in page order."""
     holders: list[tuple[str, bool, bool]] = []  # element, aside, article
     pieces: list[tuple[str, bool]] = []
     link = False
     aside = article = False
 
-    def block() -> Iterator[tuple[str, int, bool, bool]]:
+    def block() -> Iterator[Block]:
         # references may be cut by inline markup, never joined by it: each piece is decoded by itself
         decoded = [(html.unescape(t), a) for t, a in pieces]
         pieces.clear()
@@ -137,67 +140,54 @@ def _find_end(page: str, tag: str, at: int) -> int:
     return found.start() if found else -1
 
 
-_BLOCKS = "row long, page_id long, url string, at int, text string, link_chars int, aside boolean, article boolean"
-
-
-def blocks(pages: DataFrame, names: list[str] = ASIDE_NAMES) -> DataFrame:
-    """One row per block; a page without any has one row without text."""
-    known = frozenset(names)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels = [c.split()[0] for c in _BLOCKS.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.bool_()]
+def first_label(block: Block, stop_words: frozenset[str]) -> int | None:
+    """1 text, 0 not, None undecided."""
+    text, link_chars, aside, _ = block
+    if aside or link_chars > LINK_DENSITY * len(text):
+        return 0
+    if len(text) < LONG:
+        return None
+    found = _LETTERS.findall(text.lower())
+    return 1 if sum(w in stop_words for w in found) >= STOP_DENSITY * max(len(found), 1) else None
+
+
+def second_labels(found: list[Block], labels: list[int | None]) -> list[int]:
+    """Undecided blocks take the label of the nearest decided block of their region; two passes over the page."""
+    out = list(labels)
+    for region in (False, True):
+        own = [i for i, b in enumerate(found) if b[3] == region]
+        back: dict[int, tuple[int, int]] = {}
+        ahead: dict[int, tuple[int, int]] = {}
+        for order, nearest in ((own, back), (own[::-1], ahead)):
+            last = None
+            for i in order:
+                if labels[i] is None:
+                    if last is not None:
+                        nearest[i] = (abs(i - last), -labels[last])  # good before bad at the same distance
+                elif not found[i][2]:
+                    last = i
+        for i in own:
+            if labels[i] is None:
+                near = [m[i] for m in (back, ahead) if i in m]
+                out[i] = -min(near)[1] if near else int(region)
+    return out
+
+
+def page_text(page: str, names: frozenset[str], stop_words: frozenset[str]) -> str:
+    found = list(blocks_of(page, names))
+    labels = second_labels(found, [first_label(b, stop_words) for b in found])
+    return "\n\n".join(b[0] for b, good in zip(found, labels, strict=True) if good)
+
+
+def main_text(pages: DataFrame, names: list[str] = ASIDE_NAMES, stop_words: list[str] = STOP_WORDS) -> DataFrame:
+    """page_id, url, text and n_chars of every row of ``pages``; a page is read where its row lies, nothing is shuffled."""
+    known, stops = frozenset(names), frozenset(stop_words)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for row, page, url, source in zip(*(batch[c].to_pylist() for c in ("row", "page_id", "url")), batch["html"], strict=True):
-                found = list(blocks_of(source.as_py() or "", known)) or [(None, 0, False, False)]
-                rows.extend((row, page, url, i, *b) for i, b in enumerate(found))
-            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=labels)
-
-    read = pages.select(
-        F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
-    )
-    return read.mapInArrow(cut, _BLOCKS)
-
-
-def first_pass(found: DataFrame, stop_words: list[str] = STOP_WORDS) -> DataFrame:
-    """Adds ``label``: 1 text, 0 not, null undecided."""
-    words = F.split(F.lower("text"), r"[^\p{L}]+")
-    n = F.greatest(F.size(F.array_remove(words, "")), F.lit(1))
-    listed = F.array(*[F.lit(w) for w in stop_words])
-    # words that are stop words: the others are taken from the whole count
-    stop = F.size(F.filter(words, lambda w: F.array_contains(listed, w)))
-    size = F.greatest(F.length("text"), F.lit(1))
-    label = (
-        F.when(F.col("text").isNull() | F.col("aside"), F.lit(0))
-        .when(F.col("link_chars") / size > LINK_DENSITY, F.lit(0))
-        .when((size >= LONG) & (stop / n >= STOP_DENSITY), F.lit(1))
-    )
-    return found.withColumn("label", label)
-
-
-def second_pass(judged: DataFrame) -> Column:
-    """Whether a block is text: its own label, or that of the nearest decided block of its region."""
-    region = Window.partitionBy("row", "article").orderBy("at")
-    mark = F.when(F.col("label").isNotNull() & ~F.col("aside"), F.struct("at", "label"))
-    back = F.last(mark, ignorenulls=True).over(region.rowsBetween(Window.unboundedPreceding, -1))
-    ahead = F.first(mark, ignorenulls=True).over(region.rowsBetween(1, Window.unboundedFollowing))
-    near, far = F.col("at") - back["at"], ahead["at"] - F.col("at")
-    nearest = (
-        F.when(back.isNull() & ahead.isNull(), F.col("article").cast("int"))
-        .when(ahead.isNull() | (near < far), back["label"])
-        .when(back.isNull() | (far < near), ahead["label"])
-        .otherwise(F.greatest(back["label"], ahead["label"]))
-    )
-    return F.coalesce("label", nearest) == 1
-
-
-def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every row of ``pages``."""
-    judged = first_pass(staged(blocks(pages), "blocks"))
-    kept = judged.withColumn("kept", second_pass(judged))
-    cells = F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("at", "text"))))
-    pages_of = kept.groupBy("row", "page_id", "url").agg(cells.alias("cells"))
-    text = F.concat_ws("\n\n", F.transform("cells", lambda c: c["text"]))
-    return pages_of.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+            texts = [page_text(page.as_py() or "", known, stops) for page in batch["html"]]
+            sizes = pa.array([len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), sizes], names=["page_id", "url", "text", "n_chars"])
+
+    columns = [F.col("page_id").cast("long").alias("page_id"), *[F.col(c).cast("string").alias(c) for c in ("url", "html")]]
+    return pages.select(*columns).mapInArrow(read, "page_id long, url string, text string, n_chars long")
