@@ -39,8 +39,9 @@ def with_running(
     order: Column,
     sums: dict[str, Column],
     parts: int = PARTS,
+    totals: bool = False,
 ) -> DataFrame:
-    """Inclusive running sums of ``sums`` in rising ``order``.
+    """Inclusive running sums of ``sums`` in rising ``order``, with the group's ``<name>_total`` on request.
 
     ``order`` must be unique within a group; collapse equal values first.
     """
@@ -48,7 +49,7 @@ def with_running(
     ranged = with_ranges(df, keys, order, parts)
     for name, expr in sums.items():
         ranged = ranged.withColumn(f"_s_{name}", expr)
-    return _offset_sums(ranged, keys, list(sums), [F.col("_v")]).drop("_part", "_v")
+    return _offset_sums(ranged, keys, list(sums), [F.col("_v")], totals).drop("_part", "_v")
 
 
 def with_row_number(
@@ -84,11 +85,13 @@ def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
     return left.join(renamed, on, "left").drop(*[f"_k_{k}" for k in keys])
 
 
-def _offset_sums(ranged: DataFrame, keys: list[str], names: list[str], order: list[Column]) -> DataFrame:
+def _offset_sums(ranged: DataFrame, keys: list[str], names: list[str], order: list[Column], totals: bool = False) -> DataFrame:
     per_range = ranged.groupBy(*keys, "_part").agg(*[F.sum(f"_s_{n}").alias(f"_t_{n}") for n in names])
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    whole = [F.sum(f"_t_{n}").over(group).alias(f"{n}_total") for n in names if totals]
     offsets = per_range.select(
-        *keys, "_part", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in names]
+        *keys, "_part", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in names], *whole
     )
     joined = _attach(ranged, offsets, [*keys, "_part"])
     inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -114,16 +117,11 @@ def exact_percentiles(
         df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_x"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    placed = with_running(counted, keys, F.col("_x"), {"_upto": F.col("_n")}, parts)
-    total = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    if keys:
-        placed = _attach(placed, total, keys)
-    else:
-        placed = placed.withColumn("_total", total.scalar())
+    placed = with_running(counted, keys, F.col("_x"), {"_upto": F.col("_n")}, parts, totals=True)
     aggs = []
     for name, p in probs.items():
         # zero-based fractional position in the sorted group
-        position = (F.col("_total") - 1) * F.lit(float(p))
+        position = (F.col("_upto_total") - 1) * F.lit(float(p))
         low = F.min(F.when(F.col("_upto") - 1 >= F.floor(position), F.col("_x")))
         high = F.min(F.when(F.col("_upto") - 1 >= F.ceil(position), F.col("_x")))
         frac = F.max(position - F.floor(position))

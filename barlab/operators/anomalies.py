@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barlab.functions.ordering import exact_percentiles, with_running
+from barlab.functions.ordering import exact_percentiles, with_row_number, with_running
 from barlab.functions.windows import nonzero
-from barlab.operators.selection import hash_sample
+from barlab.session import materialise
 
 SAMPLE_ROWS = 256
-TREE = "tree int, feature array<int>, threshold array<double>, left array<int>, right array<int>, depth array<double>"
+TREE = "tree int, rows int, feature array<int>, threshold array<double>, left array<int>, right array<int>, depth array<double>"
 
 
 def mean_path(n):
@@ -83,37 +83,47 @@ def grow_forest(df: DataFrame, columns: Sequence[str], key: Sequence[str], n_tre
         sample = np.stack(rows["x"])
         number = int(rows["tree"].iloc[0])
         grown = _grow(sample, np.random.default_rng([seed, number]), math.ceil(math.log2(max(2, len(sample)))))
-        return pd.DataFrame({"tree": [number], **{n: [v] for n, v in zip(("feature", "threshold", "left", "right", "depth"), grown)}})
+        return pd.DataFrame({"tree": [number], "rows": [len(sample)], **{n: [v] for n, v in zip(("feature", "threshold", "left", "right", "depth"), grown)}})
 
     return dealt.groupBy("tree").applyInPandas(fit, TREE)
 
 
 class Forest:
-    """A grown forest; its size is set by the number of trees, not by the data."""
+    """A grown forest; its size is set by the number of trees, not by the data.
 
-    def __init__(self, trees: DataFrame, columns: Sequence[str], sample_rows: int = SAMPLE_ROWS):
+    All trees lie in one set of arrays. A leaf is its own child, so every row
+    steps down all trees at once, as often as the deepest tree has levels.
+    """
+
+    BLOCK = 1024
+
+    def __init__(self, trees: DataFrame, columns: Sequence[str]):
         self.columns = list(columns)
-        self.norm = float(mean_path(sample_rows))
-        self.trees = [
-            tuple(np.asarray(r[c]) for c in ("feature", "threshold", "left", "right", "depth"))
-            for r in trees.orderBy("tree").collect()
-        ]
+        grown = trees.orderBy("tree").collect()
+        # trees of a small table saw fewer rows than the sample size
+        self.norm = float(np.mean([mean_path(r["rows"]) for r in grown])) or 1.0
+        sizes = [len(r["feature"]) for r in grown]
+        # where each tree starts
+        self.trees = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int32)
+        feature, left, right = (np.concatenate([np.asarray(r[c]) for r in grown]) for c in ("feature", "left", "right"))
+        leaf, own, base = feature < 0, np.arange(len(feature)), np.repeat(self.trees, sizes)
+        self.feature = np.where(leaf, 0, feature).astype(np.int32)
+        self.left, self.right = (np.where(leaf, own, base + c).astype(np.int32) for c in (left, right))
+        self.threshold, self.depth = (np.concatenate([np.asarray(r[c], dtype=float) for r in grown]) for c in ("threshold", "depth"))
+        self.leaf = leaf
 
     def raw_score(self, x: np.ndarray) -> np.ndarray:
         """Minus the anomaly degree: lower is more unusual."""
-        total = np.zeros(len(x))
-        rows = np.arange(len(x))
-        for feature, threshold, left, right, depth in self.trees:
-            node = np.zeros(len(x), dtype=int)
-            while True:
-                f = feature[node]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                below = x[rows, np.maximum(f, 0)] <= threshold[node]
-                node = np.where(inner, np.where(below, left[node], right[node]), node)
-            total += depth[node]
-        return -np.power(2.0, -(total / len(self.trees)) / self.norm)
+        out = np.zeros(len(x))
+        for start in range(0, len(x), self.BLOCK):
+            part = x[start:start + self.BLOCK]
+            rows = np.arange(len(part))[:, None]
+            node = np.broadcast_to(self.trees, (len(part), len(self.trees)))
+            while not self.leaf[node].all():
+                below = part[rows, self.feature[node]] <= self.threshold[node]
+                node = np.where(below, self.left[node], self.right[node])
+            out[start:start + self.BLOCK] = self.depth[node].mean(axis=1)
+        return -np.power(2.0, -out / self.norm)
 
 
 def score_rows(df: DataFrame, forest: Forest) -> DataFrame:
@@ -137,37 +147,49 @@ def flag_anomalies(scored: DataFrame, contamination: float = 0.005) -> DataFrame
     return out.withColumn("is_anomaly", F.col("anomaly_score") < 0).drop("raw_score")
 
 
-def permutation_importance(flagged: DataFrame, forest: Forest, key: Sequence[str], repeats: int = 3, sample_rows: int = 4096,
-                           seed: int = 42, min_flagged: int = 20) -> DataFrame:
-    """Mean score shift when one column is shuffled, over a bounded sample and over the flagged rows.
+def permutation_importance(flagged: DataFrame, forest: Forest, key: Sequence[str], repeats: int = 3, flagged_repeats: int = 5,
+                           seed: int = 42, min_flagged: int = 100) -> DataFrame:
+    """Mean score shift when one column is shuffled, over all rows and over the flagged ones.
 
-    Each (scope, feature, repeat) is a group of its own, so the work spreads
-    over tasks that hold one sample each.
+    Rows are numbered in hash order, and each repeat gives every row another
+    row's values by a shift of that order: one join with equal keys, and every
+    row is scored. With fewer than ``min_flagged`` flagged rows their view is
+    that of all rows.
     """
     columns = forest.columns
     x = F.array(*[F.col(c).cast("double") for c in columns]).alias("x")
-    everyone = hash_sample(flagged.select(*key, x), sample_rows, key, seed).select(F.lit("global").alias("scope"), *key, "x")
-    odd = hash_sample(flagged.where("is_anomaly").select(*key, x), sample_rows, key, seed).select(F.lit("flagged").alias("scope"), *key, "x")
-    rows = everyone.unionByName(odd)
-    jobs = F.explode(F.array(*[F.struct(F.lit(j).alias("feature"), F.lit(r).alias("repeat")) for j in range(len(columns)) for r in range(repeats)]))
-    spread = rows.withColumn("_job", jobs).select("scope", "_job.*", "x", F.xxhash64(*key).alias("h"))
+    n_flagged = flagged.agg(F.count_if("is_anomaly")).scalar()
+    rows = flagged.select(x, "is_anomaly", F.xxhash64(*key, F.lit(seed)).alias("h"), F.xxhash64(*key, F.lit(seed + 1)).alias("tie"))
+
+    def scope(view: DataFrame, name: str, times: int) -> DataFrame:
+        numbered = materialise(with_row_number(view, [], F.col("h"), F.col("tie"), "n").select("n", "x"), "numbered")
+        total = numbered.count()
+        # shifts of no row onto itself, as far as there are rows
+        shifts = [1 + (seed + 7919 * r) % max(total - 1, 1) for r in range(times)]
+        taken = F.explode(F.array(*[F.struct(F.lit(r).alias("repeat"), F.lit(s).alias("by")) for r, s in enumerate(shifts)])).alias("t")
+        asking = numbered.select("n", "x", taken).select("x", "t.repeat", (F.pmod(F.col("n") - 1 + F.col("t.by"), F.lit(max(total, 1))) + 1).alias("n"))
+        return asking.join(numbered.select("n", F.col("x").alias("other")), "n").select(F.lit(name).alias("scope"), "repeat", "x", "other")
+
+    focus = rows.where(F.col("is_anomaly") | (n_flagged < min_flagged))
+    pairs = scope(rows, "global", repeats).unionByName(scope(focus, "flagged", flagged_repeats))
     shared = flagged.sparkSession.sparkContext.broadcast(forest)
 
-    def shift(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values("h")
-        model, j = shared.value, int(ordered["feature"].iloc[0])
-        values = np.stack(ordered["x"])
-        base = model.raw_score(values)
-        rng = np.random.default_rng([seed, j, int(ordered["repeat"].iloc[0])])
-        values[:, j] = rng.permutation(values[:, j])
-        moved = float(np.abs(model.raw_score(values) - base).mean())
-        return pd.DataFrame({"scope": [ordered["scope"].iloc[0]], "feature": [columns[j]], "shift": [moved], "rows": [len(values)]})
-
-    shifts = spread.groupBy("scope", "feature", "repeat").applyInPandas(shift, "scope string, feature string, shift double, rows long")
-    means = shifts.groupBy("scope", "feature").agg(F.avg("shift").alias("shift"), F.max("rows").alias("rows"))
+    def shift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared.value
+        for batch in batches:
+            values, other = np.stack(batch["x"]), np.stack(batch["other"])
+            base, parts = model.raw_score(values), []
+            for j, name in enumerate(columns):
+                moved = values.copy()
+                moved[:, j] = other[:, j]
+                by = batch[["scope"]].assign(moved=np.abs(model.raw_score(moved) - base)).groupby("scope")["moved"]
+                parts.append(by.agg(["sum", "count"]).reset_index().assign(feature=name))
+            yield pd.concat(parts)[["scope", "feature", "sum", "count"]]
+
+    shifts = pairs.mapInPandas(shift, "scope string, feature string, sum double, count long")
+    means = shifts.groupBy("scope", "feature").agg((F.sum("sum") / F.sum("count")).alias("shift"))
     total = F.sum("shift").over(Window.partitionBy("scope"))
-    out = means.withColumn("importance", F.coalesce(F.col("shift") / nonzero(total), F.lit(0.0)))
-    return out.where((F.col("scope") == "global") | (F.col("rows") >= min_flagged))
+    return means.withColumn("importance", F.coalesce(F.col("shift") / nonzero(total), F.lit(0.0)))
 
 
 def importance_table(importances: DataFrame, keys: Sequence[str] = ("scope",)) -> DataFrame:
@@ -207,12 +229,14 @@ def anomalies_per_month(labels: DataFrame) -> DataFrame:
 
 def scorecard(stats: DataFrame) -> DataFrame:
     """Named acceptance checks from one row of statistics."""
+    # Names and limits of the checks.
     checks = (
         ("Known-event recall", "100%", "recall", F.col("recall") >= 1.0),
         ("Anomaly budget", "0.1%-2%", "anomaly_rate", F.col("anomaly_rate").between(0.001, 0.02)),
         ("Silhouette score", "> 0.20", "silhouette", F.col("silhouette") > 0.20),
         ("Distinct nameable regimes", "all", "distinct_names", F.col("distinct_names") == F.col("clusters")),
         ("Cluster stability (ARI)", "> 0.80", "ari", F.col("ari") > 0.80),
+        ("Gap among leading features", "top 3", "gap_rank", F.col("gap_rank") <= 3),
     )
     have = set(stats.columns)
     rows = [

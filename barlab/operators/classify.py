@@ -100,8 +100,9 @@ def random_params(n: int, seed: int = 42) -> list[dict]:
     rng = np.random.default_rng(seed)
     return [
         {
-            "stepSize": float(np.exp(rng.uniform(np.log(0.01), np.log(0.2)))), "maxDepth": int(rng.integers(3, 6)),
+            "stepSize": float(np.exp(rng.uniform(np.log(0.01), np.log(0.2)))), "maxDepth": int(rng.integers(3, 11)),
             "minInstancesPerNode": int(rng.integers(50, 1000)), "subsamplingRate": float(rng.uniform(0.5, 1.0)),
+            "featureSubsetStrategy": f"{rng.uniform(0.5, 1.0):.3f}",
         }
         for _ in range(n)
     ]
@@ -137,13 +138,15 @@ def fold_rows(panel: DataFrame, folds: DataFrame, fold: int) -> tuple[DataFrame,
 
 
 def walk_forward(panel: DataFrame, folds: DataFrame, features: Sequence[str], params: dict | None = None) -> DataFrame:
-    """Every strategy on identical test blocks, as one long table of scores."""
+    """Every strategy on identical test blocks, as one long table of scores; folds that train on one class are left out."""
     numbers = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]
     logit = [f for f in LOGIT_FEATURES if f in panel.columns]
-    kept = ["symbol", "date", "y"]
+    kept = ["symbol", "date", "y", *[c for c in ("fwd_abs_ret", "label_threshold") if c in panel.columns]]
     out = None
     for f in numbers:
         train, test = fold_rows(panel, folds, f)
+        if train.agg(F.count_distinct("y")).first()[0] < 2:
+            continue  # one class teaches nothing
         parts = {
             "prior": prior_score(train, test), "vol_cluster": vol_cluster_score(test),
             "logit": logit_baseline(train, test, logit), "boosted": boosted_trees(train, test, features, params)[0],
@@ -151,4 +154,6 @@ def walk_forward(panel: DataFrame, folds: DataFrame, features: Sequence[str], pa
         for name, scored in parts.items():
             piece = scored.select(*kept, "p").withColumns({"fold": F.lit(f), "strategy": F.lit(name)})
             out = piece if out is None else out.unionByName(piece)
+    if out is None:
+        raise ValueError("no fold has both classes in its training rows")
     return materialise(out, "predictions", ["strategy"])

@@ -25,8 +25,8 @@ def through_membership(bars: DataFrame, members: DataFrame, bench: DataFrame, va
 
 
 def attach_by_date(panel: DataFrame, by_date: DataFrame, day: str = "date") -> DataFrame:
-    """One row per date onto every symbol; the date table is bounded by the calendar."""
-    return panel.join(F.broadcast(by_date), day, "left")
+    """A row per date onto every symbol; whether the date table is broadcast is left to its measured size."""
+    return panel.join(by_date, day, "left")
 
 
 def coverage(left: DataFrame, right: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:

@@ -137,7 +137,7 @@ def _(fx):
 @query("mla08_permutation_importance", "scope feature importance:r rank:i cumulative_share:r")
 def _(fx):
     labels, model = flagged(fx)
-    return AN.importance_table(AN.permutation_importance(labels, model, _KEY, repeats=2))
+    return AN.importance_table(AN.permutation_importance(labels, model, _KEY))
 
 
 def ruled(fx):
@@ -191,6 +191,18 @@ def _(fx):
     return AN.scorecard(stats)
 
 
+@query("mla11_fitted_scorecard", "check required observed:r passed:b")
+def _(fx):
+    """The checks on the scores and importances of a fitted forest."""
+    labels, model = flagged(fx)
+    ranked = AN.importance_table(AN.permutation_importance(labels, model, _KEY)).where("scope = 'global' AND feature IN ('gap_pct', 'abs_gap_pct')")
+    stats = labels.agg(F.avg(C("is_anomaly").cast("double")).alias("anomaly_rate")).withColumns({
+        "recall": AN.recall(AN.known_event_recall(labels, fx.corp_actions)).select("recall").scalar(),
+        "gap_rank": ranked.agg(F.min("rank")).scalar(),
+    })
+    return AN.scorecard(stats)
+
+
 # classifier
 
 FEATURES = ["abs_ret_1d", "atr_pct", "range_pct", "vol_ratio_short_long", "volume_ratio_20d", "abs_ret_zscore_20d", "vix_level",
@@ -258,7 +270,7 @@ def _(fx):
 def _(fx):
     rows = labelled(fx)
     dev = SP.dev_eval_split(rows).where("role = 'dev'")
-    inner = materialise(SP.inner_folds(rows, dev, n_folds=2), "inner")
+    inner = materialise(SP.inner_folds(rows, dev, n_folds=2, min_train=SP.MIN_TRAIN // 2), "inner")
     return CL.random_search(rows, inner, FEATURES[:4], CL.random_params(2), {"maxIter": 3})
 
 
@@ -267,7 +279,7 @@ def scored_blocks(fx):
     return CL.walk_forward(rows, two_folds(rows), FEATURES, FAST)
 
 
-@query("mlc06_walk_forward", "strategy fold:i symbol date:d y:i p:r")
+@query("mlc06_walk_forward", "strategy fold:i symbol date:d y:i fwd_abs_ret:r label_threshold:r p:r")
 def _(fx):
     return scored_blocks(fx)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barlab.operators import scores as SC
 from barlab.operators import splits as SP
 from barlab.operators import strength as ST
-from barlab.operators.anomalies import Forest, flag_anomalies, grow_forest, score_rows
+from barlab.operators.anomalies import Forest, flag_anomalies, grow_forest, mean_path, permutation_importance, score_rows
 from barlab.operators.clusters import silhouette
 
 
@@ -111,6 +111,35 @@ def test_forest_finds_planted_outliers(spark):
     assert len(out) == 20 and {r["id"] for r in out} >= set(range(8))
 
 
+def test_forest_of_a_small_table(spark):
+    rows = spark.range(30).select("id", F.col("id").cast("double").alias("f0"), (F.col("id") % 7).cast("double").alias("f1")).cache()
+    grown = grow_forest(rows, ["f0", "f1"], ["id"], n_trees=20)
+    forest = Forest(grown, ["f0", "f1"])
+    sizes = [r["rows"] for r in grown.collect()]
+    assert max(sizes) <= 30 and forest.norm == pytest.approx(float(np.mean([mean_path(n) for n in sizes])))
+    # every row steps down every tree by hand
+    x = np.array([[3.0, 3.0], [29.0, 1.0]])
+    for point, got in zip(x, forest.raw_score(x)):
+        depths = []
+        for t in grown.orderBy("tree").collect():
+            node = 0
+            while t["feature"][node] >= 0:
+                node = t["left"][node] if point[t["feature"][node]] <= t["threshold"][node] else t["right"][node]
+            depths.append(t["depth"][node])
+        assert got == pytest.approx(-(2.0 ** (-np.mean(depths) / forest.norm)))
+
+
+def test_importance_of_a_constant_column_is_zero(spark):
+    rows = spark.range(3000).select("id", F.randn(1).alias("f0"), F.lit(1.0).alias("f1")).cache()
+    forest = Forest(grow_forest(rows, ["f0", "f1"], ["id"], n_trees=20), ["f0", "f1"])
+    out = permutation_importance(flag_anomalies(score_rows(rows, forest)), forest, ["id"]).collect()
+    got = {(r["scope"], r["feature"]): r["importance"] for r in out}
+    assert got == {(s, f): pytest.approx(v) for s in ("global", "flagged") for f, v in (("f0", 1.0), ("f1", 0.0))}
+    # 15 flagged rows are too few: their view is that of all rows, with more repeats
+    shift = {r["scope"]: r["shift"] for r in out if r["feature"] == "f0"}
+    assert shift["flagged"] == pytest.approx(shift["global"], rel=0.2)
+
+
 def test_silhouette_blocks_agree_with_a_loop(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(0, 1, (60, 2)), rng.normal(4, 1, (50, 2))])
