@@ -1,16 +1,18 @@
-"""Mixing sources to target weights with Sainte-Lague quotas of equal blocks, in SQL functions only.
+"""Mixing sources to target weights with Sainte-Lague quotas of words, taken in equal blocks, in SQL functions only.
 
 The words of a source form one stream, its documents in a fixed order. The
-stream is cut into blocks of equal words; a block is the unit that the mix
-takes. Targets share the budget by weight, none above ``MOST`` times its
-source. Sources then get whole blocks by the highest quotients target / 1,
-target / 3, target / 5 and so on, and each source's quota is dealt to its
-shards by the same rule, by the blocks they hold. Inside a shard the blocks
-are taken in a seeded order, every block once before any is taken twice.
+stream is cut into blocks of equal words, which are dealt to shards. Targets
+share the budget by weight, none above ``MOST`` times its source. Sources then
+get words by the highest quotients target / 1, target / 3, target / 5 and so
+on, and each source's quota is dealt to its shards by the same rule, by the
+words they hold. Inside a shard the blocks are taken in a seeded order, every
+block once before any is taken twice; of the last one only the first words are
+taken, as many as the quota still needs.
 
 A block is ``total / RESOLUTION`` words, at least one: so there are at most
-``RESOLUTION`` blocks plus one a source, at any size of the corpus, and a
-source's taken words miss its target by about a block.
+``RESOLUTION`` blocks plus one a source, at any size of the corpus. Quotas
+don't depend on it: a source's taken words miss its target by about a word,
+also where the whole source is shorter than a block.
 
 Highest quotients need no loop: a divisor that gives too few seats, and one
 that gives enough, bracket the quotas; the few seats in between are ranked.
@@ -103,29 +105,35 @@ def apportion(parts: DataFrame, group: list[str], share: str, seats: str, most:
 
 
 def block_plan(sources: DataFrame, resolution: int = RESOLUTION, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
-    """``source``, ``block``, ``block_words`` and ``times`` (how often the mix takes the block)."""
+    """``source``, ``block``, ``block_words`` and the ranges ``lo`` to ``hi`` of its words with ``times`` (how often the mix takes them).
+
+    A block is one range, or two where the quota of its shard ends inside it.
+    """
     every = Window.partitionBy(F.lit(0))
     size = F.greatest(F.ceil(F.sum("source_size").over(every) / resolution), F.lit(1))
     cut = sources.where("source_size > 0").withColumn("block_words", size.cast("long"))
     cut = cut.withColumns({
         "blocks": F.ceil(F.col("source_size") / F.col("block_words")).cast("long"),
-        "seats": F.round(F.sum("target").over(every) / F.col("block_words")).cast("long"),
+        "seats": F.round(F.sum("target").over(every)).cast("long"),
+        "limit": (MOST * F.col("source_size")).cast("long"),
     })
-    cut = cut.withColumn("limit", MOST * F.col("blocks"))
-    # the last block of a source may be short: never more seats than blocks that can be taken
     cut = cut.withColumn("seats", F.least(F.col("seats"), F.sum("limit").over(every)))
     quotas = apportion(cut, [], "target", "seats", "limit", ["source"], "quota")
-    blocks = quotas.select("source", "block_words", "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    blocks = quotas.select("source", "source_size", "block_words", "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     shard = (F.col("block") % shards).cast("int")
     drawn = md5_number(F.concat_ws("/", F.lit(seed), F.coalesce("source", F.lit("\0")), F.col("block")), 12)
-    blocks = blocks.withColumns({"shard": shard, "drawn": drawn})
-    held = blocks.groupBy("source", "shard").agg(F.count(F.lit(1)).alias("held"), F.first("quota").alias("quota"))
+    length = F.least(F.col("block_words"), F.col("source_size") - F.col("block") * F.col("block_words"))
+    blocks = blocks.withColumns({"shard": shard, "drawn": drawn, "length": length})
+    held = blocks.groupBy("source", "shard").agg(F.sum("length").alias("held"), F.first("quota").alias("quota"))
     dealt = apportion(held.withColumn("limit", MOST * F.col("held")), ["source"], "held", "quota", "limit", ["shard"], "own")
     own = dealt.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "held", "own")
     placed = blocks.join(own, blocks["source"].eqNullSafe(F.col("_s")) & (blocks["shard"] == F.col("_h")))
-    rank = F.row_number().over(Window.partitionBy("source", "shard").orderBy("drawn", "block"))
-    times = F.floor(F.col("own") / F.col("held")) + (rank <= F.col("own") % F.col("held")).cast("int")
-    return placed.select("source", "block", "block_words", times.cast("long").alias("times"))
+    before = Window.partitionBy("source", "shard").orderBy("drawn", "block").rowsBetween(Window.unboundedPreceding, -1)
+    more = F.col("own") % F.col("held") - F.coalesce(F.sum("length").over(before), F.lit(0))
+    placed = placed.withColumns({"passes": F.floor(F.col("own") / F.col("held")).cast("long"), "more": F.least(F.greatest(more, F.lit(0)), F.col("length"))})
+    range_ = lambda lo, hi, times: F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), times.cast("long").alias("times"))
+    ranges = F.array(range_(F.lit(0), F.col("more"), F.col("passes") + 1), range_(F.col("more"), F.col("length"), F.col("passes")))
+    return placed.select("source", "block", "block_words", F.inline(F.filter(ranges, lambda r: r["lo"] < r["hi"])))
 
 
 def positions(rows: DataFrame) -> DataFrame:
@@ -153,11 +161,11 @@ def _segments(placed: DataFrame, plan: DataFrame, keep: list[str]) -> DataFrame:
     parts = cut.withColumn(
         "b", F.explode(F.sequence(F.floor(F.col("begin") / F.col("w")), F.floor((F.col("begin") + F.col("size") - 1) / F.col("w"))))
     )
-    taken = plan.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "times")
+    taken = plan.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "lo", "hi", "times")
     joined = parts.join(taken, parts["source"].eqNullSafe(F.col("_s")) & (F.col("b") == F.col("_b")))
-    start = F.greatest(F.col("b") * F.col("w"), F.col("begin")) - F.col("begin")
-    stop = F.least((F.col("b") + 1) * F.col("w"), F.col("begin") + F.col("size")) - F.col("begin")
-    return joined.select(*keep, start.alias("from"), stop.alias("upto"), "times")
+    start = F.greatest(F.col("b") * F.col("w") + F.col("lo"), F.col("begin")) - F.col("begin")
+    stop = F.least(F.col("b") * F.col("w") + F.col("hi"), F.col("begin") + F.col("size")) - F.col("begin")
+    return joined.select(*keep, start.alias("from"), stop.alias("upto"), "times").where("from < upto")
 
 
 def taken_words(docs: DataFrame) -> DataFrame:
