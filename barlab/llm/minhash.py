@@ -1,13 +1,14 @@
 """Near duplicates by b-bit MinHash.
 
 A document is the set of its distinct five-word shingles, as 64-bit hashes.
-128 minima give 25 band keys of five minima each, and the two lowest bits of
-every minimum (after mixing) are packed into four longs. Documents with equal
+128 minima give 25 band keys of five minima each (32 of four below a similarity
+of 0.85), and the two lowest bits of every minimum (after mixing) are packed
+into four longs. Documents with equal
 sets are one representative. Candidates come from equal band keys; their
 similarity is first estimated from the packed bits, corrected for chance
 collisions, with a margin of five standard deviations, and then confirmed on
 the full sets. At a similarity of 0.85 a pair misses all bands with a chance
-of 4e-7.
+of 4e-7, at 0.8 with four minima a band of 5e-8.
 
 A bucket never yields all its pairs. First each document meets one other, the
 most central of its buckets. Then only buckets that still hold several components are
@@ -18,12 +19,15 @@ Defined cases: a null, empty or blank text has no shingles and links with
 nothing; a text of fewer than five words has one shingle, the whole sequence;
 rows that share a doc_id are one node with the links of all of them; a row
 without doc_id gets no component and is kept; an empty table gives an empty
-result. Other columns are not read, and whole rows come back in ``keep_one``.
+result. Other columns are not read. ``keep_one`` takes every distinct text as a
+node, so that a row goes only by its own text; of a group the smallest doc_id
+stays, as one row; rows without shingles go only if doc_id and text repeat.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +40,22 @@ from barlab.llm.components import components
 WIDTH = 5
 PERCENT = 85
 MINIMA = 128
-BAND_ROWS = 5
-BANDS = MINIMA // BAND_ROWS
-#: Five standard deviations of the two-bit estimate at a similarity of 0.85.
-MARGIN = 0.19
 #: So many ids of candidates go to every task in one piece (8 MB); more are joined by a shuffle.
 SENT_IDS = 1_000_000
 _BLOCK = 1024
 
+
+def band_rows(percent: int) -> int:
+    """Minima a band."""
+    return 5 if percent >= 85 else 4
+
+
+def margin(percent: int) -> float:
+    """Five standard deviations of the two-bit estimate at the threshold, rounded up."""
+    equal = 0.25 + 0.75 * percent / 100
+    return ceil(500 * sqrt(equal * (1 - equal) / MINIMA) / 0.75) / 100
+
+
 _rng = np.random.RandomState(20240229)
 _FACTOR = _rng.randint(0, 1 << 62, MINIMA, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _rng.randint(0, 1 << 62, MINIMA, dtype=np.int64).astype(np.uint64)
@@ -86,16 +98,18 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 _SIGNATURE = "doc_id long, n_shingles long, high long, low long, bits array<long>, bands array<long>"
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Size and 128-bit digest of each set, the packed low bits of its minima, and its band keys (none for an empty set)."""
+    width = band_rows(percent)
+    count = MINIMA // width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         names = [c.split()[0] for c in _SIGNATURE.split(", ")]
         kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
-        weights = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(BAND_ROWS)], dtype=np.uint64)
-        tags = np.arange(1, BANDS + 1, dtype=np.uint64)
+        weights = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(width)], dtype=np.uint64)
+        tags = np.arange(1, count + 1, dtype=np.uint64)
         shifts = np.tile(np.arange(0, 64, 2, dtype=np.uint64), MINIMA // 32)
         for batch in batches:
             rows: list[tuple] = []
@@ -106,7 +120,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     least = minima(found)
                     low = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(62)
                     bits = np.bitwise_or.reduce((low << shifts).reshape(-1, 32), axis=1).view(np.int64).tolist()
-                    keys = _mixed((least[: BANDS * BAND_ROWS].reshape(BANDS, -1) * weights).sum(axis=1, dtype=np.uint64) ^ tags)
+                    keys = _mixed((least[: count * width].reshape(count, -1) * weights).sum(axis=1, dtype=np.uint64) ^ tags)
                     rows.append((doc, len(found), int(digest[0]), int(digest[1]), bits, keys.view(np.int64).tolist()))
                 else:
                     rows.append((doc, 0, int(digest[0]), int(digest[1]), [], []))
@@ -157,7 +171,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Data
 def _near(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """The distinct pairs whose estimate is high enough; the others never leave the second join."""
     known = pairs.join(marks.toDF("b", "bits_b"), "b")
-    near = estimate("bits_a", "bits_b") >= percent / 100 - MARGIN
+    near = estimate("bits_a", "bits_b") >= percent / 100 - margin(percent)
     return known.join(marks.toDF("a", "bits_a"), "a").where(near).select("a", "b").distinct()
 
 
@@ -175,13 +189,13 @@ def _crossing(rest: DataFrame, marks: DataFrame, sets: DataFrame, percent: int)
     right = full.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("doc_id").alias("b"),
                         F.col("part").alias("part_b"), F.col("bits").alias("bits_b"), F.col("hashes").alias("y"))
     apart = (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b"))
-    near = estimate("bits_a", "bits_b") >= percent / 100 - MARGIN
+    near = estimate("bits_a", "bits_b") >= percent / 100 - margin(percent)
     return left.join(right, ["key", "block"]).where(apart & near & similar("x", "y", percent)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    marked = staged(signatures(docs), "signatures")
+    marked = staged(signatures(docs, percent), "signatures")
     first = marked.where("doc_id is not null and n_shingles > 0").groupBy("high", "low").agg(F.min("doc_id").alias("rep"))
     known = staged(marked.join(first, ["high", "low"], "left").drop("high", "low"), "representatives")
     reps = known.where("doc_id = rep").dropDuplicates(["doc_id", "bits"])
@@ -217,11 +231,33 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """A staged table of ids, to go to every task while it is small."""
+    return F.broadcast(ids) if ids.limit(SENT_IDS + 1).count() <= SENT_IDS else ids
+
+
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one document of each group, one row of each doc_id."""
-    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    stay = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    # rows of a repeated doc_id are rare: only they are dropped down to one
-    repeated = stay.join(again.select("_again"), F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-    return stay.join(again.select("_again"), F.col("doc_id") == F.col("_again"), "left_anti").unionByName(repeated)
+    """The rows of ``docs`` that stay, with all their columns: one row of each group of near-duplicate texts."""
+    doc, text = F.col("doc_id").cast("long"), whole()
+    # a text is a node; those without words link with nothing, not even with their copies
+    node = F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(text)).otherwise(F.xxhash64(doc, text))
+    known = docs.where("doc_id is not null").select(doc.alias("doc_id"), text.alias("text"), node.alias("node"))
+    texts = staged(known.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "texts")
+    copied = _sent(texts.where("n > 1").select(F.col("node").alias("_node"), "first"))
+    rows = known.join(copied, F.col("node") == F.col("_node"), "left").select("node", "text", "doc_id", "first")
+    # rows whose text occurs once, and one row of each other text
+    once = rows.where("first is null").select("node", "text")
+    again = rows.where("doc_id = first").select("node", "text").dropDuplicates(["node"])
+    single = staged(once.unionByName(again).withColumnRenamed("node", "doc_id"), "distinct-texts")
+    found = near_duplicates(single, percent).select(F.col("doc_id").alias("_node"), "component_id")
+
+    groups = texts.join(found, F.col("node") == F.col("_node")).select("node", "first", "n", "component_id")
+    groups = staged(groups, "groups")
+    best = groups.groupBy("component_id").agg(F.min(F.struct("first", "node")).alias("best"), F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    lost = groups.join(best, "component_id").where("node <> best.node").select("node", F.lit(None).cast("long").alias("stays"))
+    stays = groups.where("n > 1").select("node", F.col("first").alias("stays")).join(lost.select("node"), "node", "left_anti")
+    # of each text with something to drop, the doc_id that stays, null if none does
+    fate = _sent(staged(lost.unionByName(stays).select(F.col("node").alias("_lost"), "stays"), "fate"))
+    left = docs.withColumn("_node", F.when(F.col("doc_id").isNotNull(), node)).join(fate, F.col("_node") == F.col("_lost"), "left")
+    repeated = left.where(doc == F.col("stays")).dropDuplicates(["_node"])
+    return left.where("_lost is null").unionByName(repeated).select(*docs.columns)
