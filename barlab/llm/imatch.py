@@ -10,7 +10,12 @@ sorted distinct terms that it has in a subset give that subset's hash. Two
 fingerprints are as alike as the share of subsets with equal hashes, among the
 levels they share and the subsets in which either has a term.
 
-Frequencies count every term of every document. Only terms in some subset of a
+A text with less than ``THIN`` of its looked-up terms in the band, such as one
+of a large group of near copies that push their common terms above it, has the
+hashes of the same subsets over all its terms, and whatever is compared with it
+is compared by these.
+
+Frequencies count every term of every distinct text. Only terms in some subset of a
 text are looked up; terms above the band are few at any size (their number is
 at most the mean document's terms over ``MAX_SHARE``) and are taken out before.
 
@@ -19,8 +24,7 @@ and sending the first document of a range to the one before as well, so whole
 texts are shuffled once and no range is large.
 
 Defined cases: a null or empty text has no terms and the fingerprint of the
-empty set; a text without terms in the band has the hash of all its terms,
-which is like itself only; rows are ordered by doc_id (null first), then text,
+empty set, which is like itself only; rows are ordered by doc_id (null first), then text,
 equal rows are neighbours; a lone document is its own next one; an empty table
 gives an empty result. Other columns are not read.
 """
@@ -39,6 +43,10 @@ MIN_DOCS = 2
 MAX_SHARE = 0.02
 #: In small tables the upper end of the band is so many documents.
 MAX_DOCS_LEAST = 20
+#: A text with a smaller share of its looked-up terms in the band is compared by all its terms.
+THIN = 0.25
+#: So many copied texts go to every task in one piece; more are joined by a shuffle.
+SENT_TEXTS = 1_000_000
 SUBSETS = 10
 LEVELS = 4
 _FIRST_LEVEL = 3
@@ -52,9 +60,16 @@ def term_hashes(text: Column) -> Column:
     return word_hashes(F.lower(text))
 
 
-def frequencies(docs: DataFrame) -> DataFrame:
-    """``term`` (hash) and ``docs``: in how many documents it stands."""
-    return docs.select(F.explode(term_hashes(whole())).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
+def frequencies(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``term`` (hash) and ``docs``: in how many distinct texts it stands; and the number of distinct texts."""
+    texts = staged(docs.select(F.xxhash64(whole()).alias("_text")).groupBy("_text").agg(F.count(F.lit(1)).alias("copies")), "texts")
+    copied = texts.where("copies > 1")
+    small = copied.limit(SENT_TEXTS + 1).count() <= SENT_TEXTS
+    rows = docs.select(whole().alias("text")).withColumn("_key", F.xxhash64("text"))
+    weighed = rows.join(F.broadcast(copied) if small else copied, F.col("_key") == F.col("_text"), "left")
+    # the copies of a text count as one together
+    own = weighed.select(F.explode(term_hashes(F.col("text"))).alias("term"), (1 / F.coalesce("copies", F.lit(1))).alias("part"))
+    return own.groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("docs")), texts.count()
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -118,24 +133,27 @@ def _hashes(terms: Column, level: Column) -> Column:
     return F.array(*out)
 
 
-def likeness(a: Column, level_a: Column, all_a: Column, b: Column, level_b: Column, all_b: Column) -> Column:
-    """Share of equal subset hashes; ``all_``: the hash of all terms of a text without any in the band, else null."""
+def _share(a: Column, level_a: Column, b: Column, level_b: Column, same: Column) -> Column:
+    """Share of equal subset hashes; ``same`` decides where neither has any."""
     low, high = F.greatest(level_a, level_b), F.least(level_a, level_b) + LEVELS
     size = F.greatest(high - low, F.lit(0)) * SUBSETS
     x, y = F.slice(a, (low - level_a) * SUBSETS + 1, size), F.slice(b, (low - level_b) * SUBSETS + 1, size)
     marks = F.zip_with(x, y, lambda p, q: F.when(p.isNull() & q.isNull(), F.lit(0)).when(p.eqNullSafe(q), F.lit(1)).otherwise(F.lit(2)))
     equal = F.size(F.filter(marks, lambda m: m == 1))
     some = F.size(F.filter(marks, lambda m: m > 0))
-    share = F.when(some > 0, equal / some).otherwise(F.lit(0.0))
-    whole_sets = F.coalesce((all_a == all_b).cast("double"), F.lit(0.0))
-    return F.when(size == 0, 0.0).when(all_a.isNotNull() | all_b.isNotNull(), whole_sets).otherwise(share)
+    return F.when(size == 0, 0.0).when(some > 0, equal / some).otherwise(F.coalesce(same.cast("double"), F.lit(0.0)))
 
 
-def _text(hashes: Column, level: Column, every: Column) -> Column:
-    cells = F.transform(hashes, lambda h: F.coalesce(F.lower(F.right(F.concat(F.lit("0000000"), F.hex(h)), F.lit(8))), F.lit("-")))
-    return F.when(every.isNotNull(), F.concat(F.lit("all:"), F.lower(F.hex(every)))).otherwise(
-        F.concat(level.cast("string"), F.lit(":"), F.concat_ws(",", cells))
-    )
+def likeness(a: Column, b: Column) -> Column:
+    """Likeness of two structs of ``level``, ``band`` and ``every`` (subset hashes), ``thin`` and ``all`` (hash of all terms)."""
+    same = a["all"] == b["all"]
+    by_all = _share(a["every"], a["level"], b["every"], b["level"], same)
+    return F.when(a["thin"] | b["thin"], by_all).otherwise(_share(a["band"], a["level"], b["band"], b["level"], same))
+
+
+def _text(f: Column) -> Column:
+    cells = F.transform(F.when(f["thin"], f["every"]).otherwise(f["band"]), lambda h: F.coalesce(F.lower(F.right(F.concat(F.lit("0000000"), F.hex(h)), F.lit(8))), F.lit("-")))
+    return F.concat(F.when(f["thin"], "all:").otherwise(""), f["level"].cast("string"), F.lit(":"), F.concat_ws(",", cells))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -143,8 +161,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text is the text with its last half replaced by the beginning of the next document.
     """
-    counts = staged(frequencies(docs), "frequencies")
-    n = docs.count()
+    counted, n = frequencies(docs)
+    counts = staged(counted, "frequencies")
     most = max(MAX_DOCS_LEAST, MAX_SHARE * n)
     frequent = counts.where(F.col("docs") > most).select("term")
     lexicon = counts.where(F.col("docs").between(MIN_DOCS, most)).select("term")
@@ -175,18 +193,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.when(F.col("edit"), F.col("term")))).alias("y"),
     )
     none = F.array().cast("array<long>")
-    meta = held.drop("x", "y").join(kept, "row", "left").withColumns({"x": F.coalesce("x", none), "y": F.coalesce("y", none)})
-    meta = meta.withColumns({
-        "all_x": F.when(F.size("x") == 0, F.col("all_x")), "all_y": F.when(F.size("y") == 0, F.col("all_y")),
-        "fx": _hashes(F.col("x"), F.col("lx")), "fy": _hashes(F.col("y"), F.col("ly")),
-    })
-    done = staged(meta.drop("x", "y", "row"), "hashes")
-    after = done.select(F.col("key").alias("_key"), F.col("fx").alias("_f"), F.col("lx").alias("_l"), F.col("all_x").alias("_all")).dropDuplicates(["_key"])
+    every = held.select(
+        "row", "doc_id", "key", "next_key", "n_chars", "edited_sha256", "lx", "ly", "all_x", "all_y", F.size("x").alias("nx"), F.size("y").alias("ny"),
+        _hashes(F.sort_array("x"), F.col("lx")).alias("ex"), _hashes(F.sort_array("y"), F.col("ly")).alias("ey"),
+    )
+    meta = every.join(kept, "row", "left").withColumns({"x": F.coalesce("x", none), "y": F.coalesce("y", none)})
+    found = [
+        F.struct(
+            F.col(f"l{v}").alias("level"), _hashes(F.col(v), F.col(f"l{v}")).alias("band"), F.col(f"e{v}").alias("every"),
+            ((F.size(v) == 0) | (F.size(v) < THIN * F.col(f"n{v}"))).alias("thin"), F.col(f"all_{v}").alias("all"),
+        ).alias(f"f{v}")
+        for v in ("x", "y")
+    ]
+    done = staged(meta.select("doc_id", "key", "next_key", "n_chars", "edited_sha256", *found), "hashes")
+    after = done.select(F.col("key").alias("_key"), F.col("fx").alias("_f")).dropDuplicates(["_key"])
     joined = done.join(after, F.col("next_key") == F.col("_key"), "left")
-    c = F.col
+    x, y, after_x = F.col("fx"), F.col("fy"), F.col("_f")
     return joined.select(
-        "doc_id", "n_chars", "edited_sha256",
-        _text(c("fx"), c("lx"), c("all_x")).alias("fingerprint"), _text(c("fy"), c("ly"), c("all_y")).alias("edited_fingerprint"),
-        likeness(c("fx"), c("lx"), c("all_x"), c("fy"), c("ly"), c("all_y")).alias("near_edited"),
-        likeness(c("fx"), c("lx"), c("all_x"), c("_f"), c("_l"), c("_all")).alias("near_next"),
-    )
+        "doc_id", "n_chars", "edited_sha256", _text(x).alias("fingerprint"), _text(y).alias("edited_fingerprint"),
+        likeness(x, y).alias("near_edited"), likeness(x, after_x).alias("near_next"),
+    )
