@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm import hnsw, html_text, imatch, licenses, minhash, mixing, packing, pii, quality, rans, tokens
+from barlab.llm import hnsw, html_text, imatch, licenses, max_sketch, minhash, mixing, packing, pii, quality, rans, tokens
 from barlab.llm.common import table
 from barlab.session import new_path
 
@@ -67,9 +67,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_max_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_sketch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_token_files, op3_html_extraction, op4_imatch_fingerprints, op5_personal_data, op6_hnsw_embeddings, op7_source_mixing, op8_minhash_duplicates, op9_pairwise_quality, op10_best_fit_packing)
+    f.__name__: f for f in (op1_license_scan, op2_token_files, op3_html_extraction, op4_imatch_fingerprints, op5_personal_data, op6_hnsw_embeddings, op7_source_mixing, op8_minhash_duplicates, op9_pairwise_quality, op10_best_fit_packing, op11_max_sketch_search)
 }
 
 #: SQL for those that SQL can express; the others are held against plain Python in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_max_sketch_search": max_sketch.SEARCH_SQL}
