@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm import hnsw, html_text, imatch, licenses, max_sketch, minhash, mixing, packing, pii, quality, rans, tokens, trie
+from barlab.llm import hnsw, html_text, imatch, licenses, log_bilinear, max_sketch, minhash, mixing, packing, pii, quality, rans, tokens, trie
 from barlab.llm.common import table
 from barlab.session import new_path
 
@@ -71,12 +71,16 @@ def op11_max_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return max_sketch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_log_bilinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_bilinear.score(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_token_files, op3_html_extraction, op4_imatch_fingerprints, op5_personal_data, op6_hnsw_embeddings, op7_source_mixing, op8_minhash_duplicates, op9_pairwise_quality, op10_best_fit_packing, op11_max_sketch_search, op13_conversation_trie)
+    f.__name__: f for f in (op1_license_scan, op2_token_files, op3_html_extraction, op4_imatch_fingerprints, op5_personal_data, op6_hnsw_embeddings, op7_source_mixing, op8_minhash_duplicates, op9_pairwise_quality, op10_best_fit_packing, op11_max_sketch_search, op12_log_bilinear_scores, op13_conversation_trie)
 }
 
 #: SQL for those that SQL can express; the others are held against plain Python in tests/llm.
