@@ -19,7 +19,7 @@ is spread over as many blocks as it needs. Other columns are not read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -237,8 +237,11 @@ def _coder(spark: SparkSession, folder: str):
     return spark.sparkContext.broadcast(table)
 
 
-def read_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """The parts of documents in the files: shard, block, doc_id, start in the shard, size, ids. Checksums are verified."""
+_PART = "shard int, block int, doc_id long, start long, size int, "
+
+
+def _parts(spark: SparkSession, folder: str, last: str, kind: pa.DataType, made: Callable[[np.ndarray], object]) -> DataFrame:
+    """The parts of documents in the files, each with one value made from its ids. Checksums are verified."""
     shared = _coder(spark, folder)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,43 +253,44 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
                 if zlib.crc32(ids) != row["crc"]:
                     raise ValueError(f"checksum of block {row['block']} in shard {row['shard']} is wrong")
                 ends = np.cumsum(row["doc_sizes"])
-                parts = [ids[e - s : e].astype("<u2").tobytes() for e, s in zip(ends, row["doc_sizes"], strict=True)]
-                n = len(parts)
+                values = [made(ids[e - s : e]) for e, s in zip(ends, row["doc_sizes"], strict=True)]
+                n = len(values)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["shard"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int32()),
                      pa.array(row["doc_ids"], pa.int64()), pa.array(row["doc_starts"], pa.int64()),
-                     pa.array(row["doc_sizes"], pa.int32()), pa.array(parts, pa.binary())],
-                    names=["shard", "block", "doc_id", "start", "size", "ids"],
+                     pa.array(row["doc_sizes"], pa.int32()), pa.array(values, kind)],
+                    names=["shard", "block", "doc_id", "start", "size", last],
                 )
 
     blocks = spark.read.schema(_BLOCK).parquet(f"{folder}/blocks")
-    return blocks.mapInArrow(decode, "shard int, block int, doc_id long, start long, size int, ids binary")
+    return blocks.mapInArrow(decode, f"{_PART}{last} {'binary' if kind == pa.binary() else 'long'}")
+
+
+def read_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The parts of documents in the files: shard, block, doc_id, start in the shard, size, ids."""
+    return _parts(spark, folder, "ids", pa.binary(), lambda ids: ids.astype("<u2").tobytes())
 
 
 def digests(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start over all documents, n_tokens and ids_crc32 of every document in the files."""
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crc = [zlib.crc32(np.frombuffer(x.as_py(), dtype="<u2").astype("<u4")) for x in batch["ids"]]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch[n] for n in ("shard", "block", "doc_id", "start", "size")), pa.array(crc, pa.int64())],
-                names=["shard", "block", "doc_id", "start", "size", "crc"],
-            )
-
     @F.pandas_udf("long")
     def joined(parts: pd.Series) -> pd.Series:
         return parts.map(lambda p: crc_join([(x["crc"], 4 * x["size"]) for x in p]))
 
-    parts = read_ids(spark, folder).mapInArrow(sums, "shard int, block int, doc_id long, start long, size int, crc long")
+    parts = _parts(spark, folder, "crc", pa.int64(), lambda ids: zlib.crc32(ids.astype("<u4")))
     # a document begins at one place of a shard; only those cut by a block have more than one part
     found = parts.groupBy("shard", "doc_id", "start").agg(
         F.sum("size").cast("long").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("block", "crc", "size"))).alias("parts")
     )
+    # Spark evaluates a Python function for every row that reaches it, so only cut documents go there
+    found = staged(found, "parts")
+    one = F.size("parts") == 1
+    whole_ones = found.where(one).select("shard", "doc_id", "start", "n_tokens", F.col("parts")[0]["crc"].alias("ids_crc32"))
+    cut_ones = found.where(~one).select("shard", "doc_id", "start", "n_tokens", joined("parts").alias("ids_crc32"))
     shards = spark.read.parquet(f"{folder}/shards")
     earlier = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     base = shards.select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    crc = F.when(F.size("parts") == 1, F.col("parts")[0]["crc"]).otherwise(joined("parts"))
-    return found.join(base, "shard").select(
-        "doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", crc.alias("ids_crc32")
+    return whole_ones.unionByName(cut_ones).join(base, "shard").select(
+        "doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32"
     )

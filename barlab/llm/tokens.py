@@ -14,8 +14,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Words kept per worker; beyond it the memo starts anew, which costs time and no results.
-MEMO_WORDS = 1_000_000
+#: Bytes that a worker's memo may take, by a rough count; beyond it the memo starts anew, which costs time and no results.
+MEMO_BYTES = 96_000_000
+#: What an entry takes besides its letters, and the longest word that is kept.
+_ENTRY, _LONGEST = 200, 64
 
 _LATIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-^`{-~]*)")
 
@@ -46,12 +48,16 @@ class WordTokenizer:
         self.letters = _byte_letters()
         self.memo: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.held = 0
 
     def _part(self, part: str) -> bytes:
         """A run of letters in lower case, or a run of punctuation."""
         if (got := self.parts.get(part)) is None:
             shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-            got = self.parts[part] = np.array([t.id for t in self.pieces(shown)], dtype="<u2").tobytes()
+            got = np.array([t.id for t in self.pieces(shown)], dtype="<u2").tobytes()
+            if len(part) <= _LONGEST:
+                self.parts[part] = got
+                self.held += _ENTRY + len(part)
         return got
 
     def _word(self, word: bytes) -> bytes:
@@ -62,23 +68,27 @@ class WordTokenizer:
                 return self._part(lower) + (self._part(tail) if tail else b"")
         return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
+    def _learnt(self, word: bytes) -> bytes:
+        """The ids of a word that the memo lacks; it starts anew when full, within a text too."""
+        if self.held > MEMO_BYTES:
+            self.memo.clear()
+            self.parts.clear()
+            self.held = 0
+        got = self._word(word)
+        if len(word) <= _LONGEST:
+            self.memo[word] = got
+            self.held += _ENTRY + 2 * len(word)
+        return got
+
     def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text; a null text has none."""
+        get, learnt = self.memo.get, self._learnt
         for text in texts:
             parts = (text or "").encode().split()  # white space of ASCII only; the tokenizer drops the rest itself
-            memo = self.memo
-            try:
-                yield b"".join([memo[w] for w in parts])
-                continue
-            except KeyError:
-                pass
-            if len(memo) > MEMO_WORDS or len(self.parts) > MEMO_WORDS:
-                memo.clear()
-                self.parts.clear()
-            for w in parts:
-                if w not in memo:
-                    memo[w] = self._word(w)
-            yield b"".join([memo[w] for w in parts])
+            found = list(map(get, parts))
+            if None in found:
+                found = [learnt(w) if (got := get(w)) is None else got for w in parts]
+            yield b"".join(found)
 
 
 _LOADED: dict[str, WordTokenizer] = {}
