@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Bytes that a worker's memo may take, by a rough count; beyond it the memo starts anew, which costs time and no results.
-MEMO_BYTES = 96_000_000
+MEMO_BYTES = 200_000_000
 #: What an entry takes besides its letters, and the longest word that is kept.
 _ENTRY, _LONGEST = 200, 64
 
