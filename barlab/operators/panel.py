@@ -6,10 +6,10 @@ they share a single exchange and sort; no frame looks ahead.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barlab.functions.expanding import expanding_ranks
 from barlab.functions.scalars import bucket_index, to_minutes
 from barlab.functions.windows import (
     bar_number, centred_extreme, forward_fill, nonzero, one_series, pct_change, ratio, roll, rolling_beta,
@@ -23,26 +23,6 @@ MIN_HISTORY = 60
 REGIME_EDGES = (0.25, 0.50, 0.75)
 
 
-def expanding_ranks(df: DataFrame, value: str, min_rows: int, name: str, key: str = "symbol", order: str = "date") -> DataFrame:
-    """Average-rank percentile of the previous value within the history up to it, as (key, order, name).
-
-    A sorted structure per key makes this n log n, while the window form
-    copies the whole history into every row. A key's rows are its trading
-    days, so a group is bounded by the calendar.
-    """
-
-    def ranks(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values(order)
-        past = ordered["v"].shift(1)
-        ordered[name] = past.expanding(min_periods=min_rows).rank(pct=True)
-        return ordered[["k", order, name]]
-
-    narrow = df.select(F.col(key).alias("k"), order, F.col(value).cast("double").alias("v"))
-    kinds = dict(df.dtypes)
-    ranked = narrow.groupBy("k").applyInPandas(ranks, f"k {kinds[key]}, {order} {kinds[order]}, {name} double")
-    return ranked.select(F.col("k").alias(key), order, F.when(~F.isnan(name), F.col(name)).alias(name))
-
-
 def expanding_rank(df: DataFrame, value: str, min_rows: int, name: str, key: str = "symbol", order: str = "date") -> DataFrame:
     return df.join(expanding_ranks(df, value, min_rows, name, key, order), [key, order], "left")
 
