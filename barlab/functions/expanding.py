@@ -15,9 +15,10 @@ that fills a cut by itself is a range of its own; its rows are all equal and are
 counted from the table and the chunk, so heavy ties do not build a large range.
 A key of at most ``ROWS`` rows is ranked in one piece.
 
-Which keys are large is counted first, which reads nothing but the key. Their
-rows are written with their cells before the counts are taken: a sketch need
-not give the same cuts twice, and all three parts must see the same ones.
+Key, order and value are written once, so that finding the large keys does not
+compute the input again. The rows of large keys are written with their cells
+before the counts are taken: a sketch need not give the same cuts twice, and
+all three parts must see the same ones.
 """
 
 from __future__ import annotations
@@ -134,10 +135,10 @@ def _null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFram
 def expanding_ranks(df: DataFrame, value: str, min_rows: int, name: str, key: str = "symbol", order: str = "date") -> DataFrame:
     """Average-rank percentile of the previous value within the history up to it, as (key, order, name).
 
-    ``order`` is unique within a key. Rows with a missing previous value, or
-    with fewer than ``min_rows`` values up to it, have null or no row.
+    ``order`` is unique within a key. Every row has one here; with a missing
+    previous value, or fewer than ``min_rows`` values up to it, it is null.
     """
-    narrow = _narrow(df, key, order, value)
+    narrow = materialise(_narrow(df, key, order, value), "ranked")
     kinds = dict(narrow.dtypes)
     of_key = materialise(narrow.groupBy("k").count().where(F.col("count") > ROWS).select("k"), "large-keys")
     if of_key.isEmpty():
@@ -164,7 +165,7 @@ def _short(narrow: DataFrame, kinds: dict[str, str], min_rows: int) -> DataFrame
         less, equal = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
         less[there], equal[there] = earlier_counts(group["v"].to_numpy()[there])
         rank = _rank(less, equal, np.cumsum(there), there, min_rows)
-        return pd.DataFrame({"k": group["k"].to_numpy()[1:], "o": group["o"].to_numpy()[1:], "r": rank[:-1]})
+        return pd.DataFrame({"k": group["k"], "o": group["o"], "r": np.concatenate([[np.nan], rank[:-1]])})
 
     return narrow.select("k", "o", "v").groupBy("k").applyInPandas(ranks, f"k {kinds['k']}, o {kinds['o']}, r double")
 
@@ -205,4 +206,5 @@ def _long(narrow: DataFrame, kinds: dict[str, str], min_rows: int) -> DataFrame:
         F.max("next_o").alias("next_o"), F.sum("less").alias("less"), F.sum("equal").alias("equal"), F.max("upto").alias("upto"), F.max("held").alias("held")
     )
     rank = F.when((F.col("held") == 1) & (F.col("upto") >= min_rows), (F.col("less") + (F.col("equal") + 2) / 2) / F.col("upto"))
-    return counted.where("next_o is not null").select("k", F.col("next_o").alias("o"), rank.alias("r"))
+    first = narrow.groupBy("k").agg(F.min("o").alias("o")).withColumn("r", F.lit(None).cast("double"))
+    return counted.where("next_o is not null").select("k", F.col("next_o").alias("o"), rank.alias("r")).unionByName(first)

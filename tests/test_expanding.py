@@ -37,7 +37,9 @@ def test_equals_pandas(spark, rows, monkeypatch, held, cuts):
     monkeypatch.setattr(expanding, "ROWS", held)
     monkeypatch.setattr(expanding, "CUTS", cuts)
     df = spark.createDataFrame(rows, "symbol string, date date, x double").repartition(5)
-    got = {(r.symbol, r.date): r.pct for r in expanding.expanding_ranks(df, "x", 20, "pct").collect() if r.pct is not None}
+    found = expanding.expanding_ranks(df, "x", 20, "pct").collect()
+    assert sorted((str(r.symbol), r.date) for r in found) == sorted((str(k), o) for k, o, _ in rows)
+    got = {(r.symbol, r.date): r.pct for r in found if r.pct is not None}
     want = plain(rows, 20)
     assert got.keys() == want.keys()
     assert max(abs(got[k] - want[k]) for k in want) < 1e-12
