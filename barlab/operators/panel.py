@@ -16,7 +16,6 @@ from barlab.functions.windows import (
     rolling_corr, series, trail, trailing_zscore,
 )
 from barlab.operators.calendar import panel_calendar
-from barlab.session import materialise
 
 # Window lengths and minimum rows.
 MIN_ROWS = 10
@@ -256,12 +255,12 @@ def feature_panel(
 ) -> DataFrame:
     """All families on (symbol, date); missing values stay null.
 
-    Everything ordered by symbol runs first and is written once, because the
-    ranks read it too; market rows (one per date) join in between, and the two
-    joins on (symbol, date) come last.
+    Everything ordered by symbol runs first, market rows (one per date) join in
+    between, and the two joins on (symbol, date) come last, so the wide rows are
+    exchanged twice in all.
     """
     market = market_features(index_daily, vix_daily)
-    core = materialise(window_families(bars_daily), "panel")
+    core = window_families(bars_daily)
     panel = relative_features(core.join(market, "date", "left"))
     panel = panel.join(regime_columns(core), ["symbol", "date"], "left")
     if intraday is not None:
