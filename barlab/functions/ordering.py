@@ -1,6 +1,6 @@
 """Ranks, running totals and exact percentiles over groups of any size.
 
-A plain ordered window keeps a whole group in one task. These helpers cut each
+Percentiles are selected between brackets. For the others a plain ordered window keeps a whole group in one task. These helpers cut each
 group into value ranges first (split points from a bounded sketch), so even a
 group that holds most of the table is spread: totals per range are summed over
 a table of at most ``2 * parts + 1`` rows per group, and the ordered window
@@ -101,29 +101,58 @@ def _offset_sums(ranged: DataFrame, keys: list[str], names: list[str], order: li
     return joined.drop(*helper)
 
 
-def exact_percentiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    parts: int = PARTS,
-) -> DataFrame:
+#: Accuracy of the sketch with and without keys, and how many of its steps a bracket leaves on both sides of a rank.
+ACCURACY, ACCURACY_ALL, MARGIN = 5_000, 100_000, 10
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], accuracy: int | None = None) -> DataFrame:
     """Linear-interpolated percentiles per group, one column per entry of ``probs``.
 
-    Equals ``percentile`` but never holds a group in one aggregation buffer.
+    Equals ``percentile``, by selection: a sketch of bounded size brackets each
+    wanted rank, one pass counts the rows between the brackets and the distinct
+    values inside them, and only those values are ordered. The input is read
+    twice. A bracket holds ``2 * MARGIN / accuracy`` of a group's rows, so the
+    ordered window runs over a fraction of it. Nulls are left out; a group of
+    nulls only has none. Should a wanted rank lie outside its bracket, which
+    the margin makes all but impossible, the query fails instead of guessing.
     """
     keys = list(keys)
-    counted = (
-        df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_x"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+    accuracy = accuracy or (ACCURACY if keys else ACCURACY_ALL)
+    reach = MARGIN / accuracy
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
+    low = F.array(*[F.lit(max(0.0, float(p) - reach)) for p in probs.values()])
+    high = F.array(*[F.lit(min(1.0, float(p) + reach)) for p in probs.values()])
+    sketch = rows.groupBy(*keys).agg(
+        F.percentile_approx("_x", low, F.lit(accuracy)).alias("_low"), F.percentile_approx("_x", high, F.lit(accuracy)).alias("_high")
     )
-    placed = with_running(counted, keys, F.col("_x"), {"_upto": F.col("_n")}, parts, totals=True)
+    if keys:
+        bound = _attach(rows, sketch, keys)
+    else:
+        bound = rows.withColumn("_b", sketch.select(F.struct("_low", "_high")).scalar()).select("_x", "_b._low", "_b._high")
+    inside = F.exists(F.arrays_zip("_low", "_high"), lambda b: (b["_low"] <= F.col("_x")) & (F.col("_x") <= b["_high"]))
+    # rows between brackets fall together; their number, smallest and largest value are enough
+    gap = F.size(F.filter("_low", lambda c: c <= F.col("_x")))
+    cell = F.when(inside, F.col("_x"))
+    counted = bound.groupBy(*keys, cell.alias("_v"), F.when(~inside, gap).alias("_gap")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max")
+    )
+    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    upto = F.sum("_n").over(group.orderBy("_min").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumns({"_upto": upto, "_total": F.sum("_n").over(group)})
+
+    def at(rank: Column) -> Column:
+        """The value of a one-based rank."""
+        here = (rank <= F.col("_upto")) & (rank > F.col("_upto") - F.col("_n"))
+        known = (
+            F.when(F.col("_min") == F.col("_max"), F.col("_min"))
+            .when(rank == F.col("_upto") - F.col("_n") + 1, F.col("_min")).when(rank == F.col("_upto"), F.col("_max"))
+            .otherwise(F.raise_error(F.lit("a wanted rank lies outside its bracket")).cast("double"))
+        )
+        return F.max(F.when(here, known))
+
     aggs = []
     for name, p in probs.items():
-        # zero-based fractional position in the sorted group
-        position = (F.col("_upto_total") - 1) * F.lit(float(p))
-        low = F.min(F.when(F.col("_upto") - 1 >= F.floor(position), F.col("_x")))
-        high = F.min(F.when(F.col("_upto") - 1 >= F.ceil(position), F.col("_x")))
-        frac = F.max(position - F.floor(position))
-        aggs.append((low + (high - low) * frac).alias(name))
+        position = (F.col("_total") - 1) * F.lit(float(p))  # zero-based, fractional
+        first, second = at(F.floor(position) + 1), at(F.ceil(position) + 1)
+        aggs.append((first + (second - first) * F.max(position - F.floor(position))).alias(name))
     return placed.groupBy(*keys).agg(*aggs)

@@ -56,3 +56,31 @@ def test_null_groups_survive(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("x", 2.0)], "g string, v double")
     got = {r["g"]: r["m"] for r in exact_percentiles(df, ["g"], "v", {"m": 0.5}).collect()}
     assert got == {None: 2.0, "x": 2.0}
+
+
+@pytest.mark.parametrize("accuracy", [100, 400, 5000])
+def test_selection_with_coarse_sketches(spark, accuracy):
+    """Brackets that leave out most rows still give the exact ranks."""
+    rng = np.random.default_rng(accuracy)
+    rows = [("hot", float(x)) for x in rng.lognormal(0, 2, 40_000)] + [("tied", float(x)) for x in rng.integers(0, 3, 9000)]
+    rows += [("few", 1.5), ("few", 2.5), ("one", 7.0), ("none", None), (None, 3.0), ("infinite", float("inf")), ("infinite", 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    probs = {"a": 0.0, "b": 0.01, "c": 0.5, "d": 0.95, "e": 0.999, "f": 1.0}
+    got = {r["g"]: r for r in exact_percentiles(df, ["g"], "v", probs, accuracy).collect()}
+    frame = df.toPandas().dropna(subset=["v"])
+    assert set(got) == {"hot", "tied", "few", "one", None, "infinite"}
+    for g in ("hot", "tied", "few", "one"):
+        for name, p in probs.items():
+            assert got[g][name] == pytest.approx(frame[frame["g"] == g]["v"].quantile(p), rel=1e-12)
+    whole = exact_percentiles(df.where("not g <=> 'infinite'"), [], "v", probs, accuracy).first()
+    for name, p in probs.items():
+        assert whole[name] == pytest.approx(frame[frame["g"] != "infinite"]["v"].quantile(p), rel=1e-12)
+
+
+def test_selection_orders_few_rows(spark):
+    """Of 200,000 distinct values only those in the brackets are ordered."""
+    df = spark.range(200_000).select((F.col("id") * 7919 % 200_003).cast("double").alias("v"))
+    found = exact_percentiles(df, [], "v", {"m": 0.5, "p": 0.9}, 5000)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (0, 200000") == 2
+    assert found.first()["m"] == pytest.approx(df.toPandas()["v"].median())
