@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlab.functions.scans import as_number
 from barlab.session import materialise
 
 #: Rows of a key that one task takes whole; larger keys are cut into at most CUTS parts each way.
@@ -67,16 +68,6 @@ def earlier_counts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return less, equal
 
 
-def _number(df: DataFrame, column: str) -> Column:
-    """A column that orders like ``column`` as a number."""
-    kind = dict(df.dtypes)[column]
-    if kind == "date":
-        return F.unix_date(column).cast("double")
-    if kind == "timestamp_ntz":
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
-    return F.col(column).cast("double")
-
-
 def _place(cuts: str, value: str) -> Column:
     """Twice the number of cuts below, one more on a cut."""
     below = F.size(F.filter(cuts, lambda c: c < F.col(value)))
@@ -86,7 +77,7 @@ def _place(cuts: str, value: str) -> Column:
 def _narrow(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Key, order, value and the order as a number; NaN counts as missing, as it does in a rank of a numeric series."""
     v = F.col(value).cast("double")
-    return df.select(F.col(key).alias("k"), F.col(order).alias("o"), F.when(~F.isnan(v), v).alias("v"), _number(df, order).alias("t"))
+    return df.select(F.col(key).alias("k"), F.col(order).alias("o"), F.when(~F.isnan(v), v).alias("v"), as_number(df, order).alias("t"))
 
 
 def _ranged(large: DataFrame) -> DataFrame:

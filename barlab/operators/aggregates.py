@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barlab.functions.ordering import exact_percentiles, with_running
 from barlab.functions.scalars import label, to_minutes
+from barlab.functions.scans import Scan
 from barlab.functions.windows import nonzero
 
 
@@ -128,11 +129,10 @@ def pivot_mean(df: DataFrame, row: str, column: str, value: str, columns: Sequen
 
 
 def cumulative_share(df: DataFrame, value: str, tie: str) -> DataFrame:
-    """Share of the total and running share, largest first; one row per named item."""
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc(value), tie)
-    total = F.sum(value).over(Window.partitionBy(F.lit(0)))
-    out = df.withColumn("share", F.col(value) / nonzero(total))
-    return out.withColumn("cumulative_share", F.sum("share").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Share of the total and running share, largest first; one row per named item, any number of them."""
+    total = df.agg(F.sum(value)).scalar()
+    shared = df.withColumn("share", F.col(value) / nonzero(total))
+    return Scan(shared, [], -F.col(value), [tie]).add(cumulative_share=("sum", F.col("share"))).result()
 
 
 def value_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barlab.functions.chunks import with_previous
 from barlab.functions.scalars import minutes, to_minutes
+from barlab.functions.scans import Scan, as_number
 from barlab.functions.windows import ratio
 from barlab.operators.joins import expected_slots
 
@@ -168,10 +169,11 @@ def file_integrity(bars: DataFrame, keys: Sequence[str], ts: str = "ts") -> Data
     )
 
 
-def unsorted_rows(stored: DataFrame, keys: Sequence[str], position: str, ts: str = "ts") -> DataFrame:
-    """Rows whose time lies before that of the stored row ahead of them."""
-    w = Window.partitionBy(*keys).orderBy(position)
-    return stored.withColumn("_back", F.lag(ts).over(w) > F.col(ts)).groupBy(*keys).agg(F.count_if("_back").alias("out_of_order"))
+def unsorted_rows(stored: DataFrame, keys: Sequence[str], position: Sequence[str], ts: str = "ts") -> DataFrame:
+    """Rows whose time lies before that of the stored row ahead of them, for keys of any size."""
+    rows = stored.select(*keys, *position, F.col(ts).alias("_ts"))
+    seen = Scan(rows, keys, as_number(rows, position[0]), position[1:]).add(_ahead=("previous", F.col("_ts"))).result()
+    return seen.groupBy(*keys).agg(F.count_if(F.col("_ahead") > F.col("_ts")).alias("out_of_order"))
 
 
 def rows_per_year(bars: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlab.functions.scans import Scan, as_number
 
 def labelled_union(parts: dict[str, DataFrame], name: str) -> DataFrame:
     """Stack frames with a constant label per source."""
@@ -41,21 +42,20 @@ def to_wide(long: DataFrame, keys: Sequence[str], metric: str, value: str, metri
 
 
 def longest_streak(df: DataFrame, keys: Sequence[str], order: Sequence[str], condition: Column) -> DataFrame:
-    """Length of the longest unbroken run of ``condition``.
+    """Length of the longest unbroken run of ``condition``, for keys of any size.
 
-    The distance to the last row that broke the run is the run length, so one
-    ordered window and one aggregate are enough.
+    The distance to the last row that broke the run is the run length: a scan
+    that numbers the rows, and one that carries the last broken number.
     """
-    w = Window.partitionBy(*(list(keys) or [F.lit(0)])).orderBy(*order)
-    numbered = df.withColumns({"_c": F.coalesce(condition, F.lit(False)), "_i": F.row_number().over(w)})
-    broken = F.last(F.when(~F.col("_c"), F.col("_i")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    runs = numbered.withColumn("_run", F.col("_i") - F.coalesce(broken, F.lit(0)))
-    return runs.groupBy(*keys).agg(F.max("_run").alias("longest_streak"))
+    held = F.coalesce(condition, F.lit(False))
+    scan = Scan(df.withColumn("_c", held), keys, as_number(df, order[0]), order[1:])
+    scan.add(_i=("sum", F.lit(1))).add(_broken=("last", F.when(~F.col("_c"), F.col("_i"))))
+    run = F.col("_i") - F.coalesce("_broken", F.lit(0))
+    return scan.result().groupBy(*keys).agg(F.max(run).alias("longest_streak"))
 
 
 def drawdown(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: str) -> DataFrame:
-    """Running total, its running peak and the distance below it."""
-    w = Window.partitionBy(*(list(keys) or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("equity", F.sum(step).over(w))
-    out = out.withColumn("peak", F.max("equity").over(w))
+    """Running total, its running peak and the distance below it, for keys of any size."""
+    scan = Scan(df, keys, as_number(df, order[0]), order[1:])
+    out = scan.add(equity=("sum", F.col(step))).add(peak=("max", F.col("equity"))).result()
     return out.withColumn("drawdown", F.col("peak") - F.col("equity"))

@@ -157,8 +157,7 @@ def _(fx):
        """SELECT user_id, count(*) FILTER (WHERE b) AS out_of_order FROM (
             SELECT user_id, lag(ts) OVER (PARTITION BY user_id ORDER BY value, event_id) > ts AS b FROM events) GROUP BY 1""")
 def _(fx):
-    placed = fx.table("events").withColumn("slot", F.struct("value", "event_id"))
-    return Q.unsorted_rows(placed, ["user_id"], "slot")
+    return Q.unsorted_rows(fx.table("events"), ["user_id"], ["value", "event_id"])
 
 
 @query("dqa12_detect_corp_actions", "symbol date:d ratio:r4",
