@@ -40,7 +40,7 @@ def bar_store(fx: Fixtures) -> str:
 
 
 def stored(fx: Fixtures) -> DataFrame:
-    return fx.spark.read.schema(B.BAR_SCHEMA).parquet(bar_store(fx))
+    return B.read_store(fx.spark, bar_store(fx))
 
 
 table("x_store", """

@@ -3,6 +3,8 @@
 Bars live in one Parquet table partitioned by asset type and timeframe, and by
 year below them so that a date range prunes folders; symbols are a sorted
 column, not folders, because thousands of tiny files per symbol do not scale.
+Replaced folders are switched by a manifest (see ``versions``), so a write that
+fails leaves the table as it was.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barlab.sources.versions import VersionedTable
+
 # The known asset types and timeframes.
 ASSET_TYPES = ("index", "stock", "volatility", "options")
 TIMEFRAMES = ("1min", "3min", "5min", "15min", "60min", "daily")
@@ -49,24 +53,39 @@ def load_bars(
 ) -> DataFrame:
     """Bars of one asset type and timeframe, inclusive of both dates.
 
-    The asset type, timeframe and years prune folders; symbol and time reach
-    the Parquet reader as pushed filters. Options only exist as daily bars.
+    The asset type, timeframe and years prune folders before any is listed;
+    symbol and time reach the Parquet reader as pushed filters. Options only
+    exist as daily bars.
     """
     _known(asset_type, ASSET_TYPES, "asset type")
     _known(timeframe, TIMEFRAMES, "timeframe")
     frame = "daily" if asset_type == "options" else timeframe
-    df = spark.read.schema(BAR_SCHEMA).parquet(root)
-    df = df.where((F.col("asset_type") == asset_type) & (F.col("timeframe") == frame))
+    low, high = int(start[:4]) if start else None, int(end[:4]) if end else None
+
+    def wanted(values: dict[str, str]) -> bool:
+        year = values["year"]
+        inside = not year.isdigit() or (low is None or low <= int(year)) and (high is None or int(year) <= high)
+        return values["asset_type"] == asset_type and values["timeframe"] == frame and inside
+
+    df = bar_table(spark, root).read(BAR_SCHEMA, wanted)
     if symbol is not None:
         df = df.where(F.col("symbol") == symbol)
     if start is not None:
-        df = df.where((F.col("year") >= int(start[:4])) & (F.col("ts") >= F.lit(start).cast("timestamp_ntz")))
+        df = df.where(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
     if end is not None:
-        last = F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz")
-        df = df.where((F.col("year") <= int(end[:4])) & (F.col("ts") < last))
+        df = df.where(F.col("ts") < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz"))
     return df.select("symbol", "ts", "open", "high", "low", "close", "volume")
 
 
+def bar_table(spark: SparkSession, root: str) -> VersionedTable:
+    return VersionedTable(spark, root, ("asset_type", "timeframe", "year"))
+
+
+def read_store(spark: SparkSession, root: str) -> DataFrame:
+    """All bars with their asset type, timeframe and year."""
+    return bar_table(spark, root).read(BAR_SCHEMA)
+
+
 def scan_files(spark: SparkSession, paths: list[str], symbol_pattern: str = r"/([^/]+)/[^/]+\.parquet$") -> DataFrame:
     """Scan per-symbol files; the symbol comes from each row's file path."""
     if not paths:
@@ -142,9 +161,15 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.explode("symbols").alias("symbol"))
 
 
+RS_SCHEMA = "symbol string, ts timestamp_ntz, membership_type string, rs_value double, timeframe string, benchmark_index string"
+
+
+def rs_table(spark: SparkSession, root: str) -> VersionedTable:
+    return VersionedTable(spark, root, ("timeframe", "benchmark_index"))
+
+
 def read_rs(spark: SparkSession, root: str, timeframe: str | None = None) -> DataFrame:
-    df = spark.read.parquet(root)
-    return df if timeframe is None else df.where(F.col("timeframe") == timeframe)
+    return rs_table(spark, root).read(RS_SCHEMA, lambda values: timeframe is None or values["timeframe"] == timeframe)
 
 
 def list_available(bars: DataFrame, asset_type: str | None = None) -> DataFrame:
@@ -190,22 +215,17 @@ def _laid_out(bars: DataFrame) -> DataFrame:
 
 def write_bars(bars: DataFrame, root: str, asset_type: str, timeframe: str) -> None:
     """Replace one asset type and timeframe as a whole: years that ``bars`` lacks are gone afterwards."""
-    _known(asset_type, ASSET_TYPES, "asset type")
-    _known(timeframe, TIMEFRAMES, "timeframe")
-    (
-        _laid_out(bars).write.mode("overwrite").option("partitionOverwriteMode", "static")
-        .partitionBy("year").parquet(f"{root}/asset_type={asset_type}/timeframe={timeframe}")
-    )
+    _replace(bars, root, asset_type, timeframe, touched_only=False)
 
 
 def write_years(bars: DataFrame, root: str, asset_type: str, timeframe: str) -> None:
     """Replace only the years of one asset type and timeframe that ``bars`` has."""
-    _known(asset_type, ASSET_TYPES, "asset type")
-    _known(timeframe, TIMEFRAMES, "timeframe")
-    (
-        _laid_out(bars).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("year").parquet(f"{root}/asset_type={asset_type}/timeframe={timeframe}")
-    )
+    _replace(bars, root, asset_type, timeframe, touched_only=True)
+
+
+def _replace(bars: DataFrame, root: str, asset_type: str, timeframe: str, touched_only: bool) -> None:
+    fixed = {"asset_type": _known(asset_type, ASSET_TYPES, "asset type"), "timeframe": _known(timeframe, TIMEFRAMES, "timeframe")}
+    bar_table(bars.sparkSession, root).replace(_laid_out(bars), fixed, touched_only)
 
 
 def write_panel(panel: DataFrame, path: str) -> None:
@@ -215,13 +235,10 @@ def write_panel(panel: DataFrame, path: str) -> None:
 def write_rs(rs: DataFrame, root: str) -> None:
     """Replace every timeframe in ``rs`` as a whole: its benchmarks that ``rs`` lacks are gone afterwards."""
     columns = ["symbol", "ts", "membership_type", "rs_value", "benchmark_index"]
+    table = rs_table(rs.sparkSession, root)
     for (timeframe,) in rs.select("timeframe").distinct().collect():  # at most as many as there are timeframes
-        (
-            rs.where(F.col("timeframe") == timeframe).select(*columns)
-            .repartitionByRange("benchmark_index", "symbol", "ts")
-            .write.mode("overwrite").option("partitionOverwriteMode", "static")
-            .partitionBy("benchmark_index").parquet(f"{root}/timeframe={timeframe}")
-        )
+        rows = rs.where(F.col("timeframe") == timeframe).select(*columns).repartitionByRange("benchmark_index", "symbol", "ts")
+        table.replace(rows, {"timeframe": timeframe})
 
 
 def write_csv(summary: DataFrame, path: str) -> None:
@@ -258,16 +275,15 @@ def merge_unique(existing: DataFrame, incoming: DataFrame, keys: list[str], inco
 def upsert_table(spark: SparkSession, root: str, incoming: DataFrame, asset_type: str, timeframe: str,
                  incoming_wins: bool = True) -> None:
     """Upsert into the stored bars, rewriting only the years that ``incoming`` touches."""
-    from barlab.session import materialise
+    years = {str(r[0]) for r in incoming.select(F.year("ts").alias("y")).distinct().collect()}  # a row a year
+
+    def touched(values: dict[str, str]) -> bool:
+        return values["asset_type"] == asset_type and values["timeframe"] == timeframe and values["year"] in years
 
-    years = [r[0] for r in incoming.select(F.year("ts").alias("y")).distinct().collect()]
-    stored = spark.read.schema(BAR_SCHEMA).parquet(root).where(
-        (F.col("asset_type") == asset_type) & (F.col("timeframe") == timeframe) & F.col("year").isin(years)
-    )
     columns = ["symbol", "ts", "open", "high", "low", "close", "volume"]
-    merged = upsert_bars(stored.select(*columns), incoming.select(*columns), ["symbol", "ts"], incoming_wins)
-    # staged first, because the folders being replaced are also being read
-    write_years(materialise(merged, "upsert"), root, asset_type, timeframe)
+    stored = bar_table(spark, root).read(BAR_SCHEMA, touched).select(*columns)
+    # the folders being read stay until the new ones are named
+    write_years(upsert_bars(stored, incoming.select(*columns), ["symbol", "ts"], incoming_wins), root, asset_type, timeframe)
 
 
 def date_chunks(ranges: DataFrame, start: str, end: str, max_days: int) -> DataFrame:
