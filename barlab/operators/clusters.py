@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlab.functions.windows import nonzero
+from barlab.operators.kmeans import MAX_ITER, STARTS, cheapest, fit_all, points
 from barlab.session import materialise
 
-BLOCK_ROWS = 2048
-MAX_EXACT_POINTS = 50_000
+BLOCK_ROWS = 4096
 
 
 def standardize(df: DataFrame, columns: Sequence[str], suffix: str = "_z") -> DataFrame:
@@ -33,72 +33,69 @@ def with_vector(df: DataFrame, columns: Sequence[str], name: str = "features") -
     return df.withColumn(name, array_to_vector(F.array(*[F.col(c).cast("double") for c in columns])))
 
 
-def fit_kmeans(df: DataFrame, k: int, seeds: Sequence[int], max_iter: int = 50):
-    """The cheapest of several seeded fits."""
-    best = None
-    for seed in seeds:
-        model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cluster_id").fit(df)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
-
-
 def kmeans_regimes(df: DataFrame, key: str, columns: Sequence[str], k_range: tuple[int, int] = (3, 8),
-                   seeds: Sequence[int] = (42,)) -> tuple[DataFrame, DataFrame]:
-    """Fit every k, keep the one with the best silhouette: (score table, labelled days)."""
+                   seeds: Sequence[int] = tuple(range(STARTS)), max_iter: int = MAX_ITER) -> tuple[DataFrame, DataFrame]:
+    """Fit every k from every seed in common passes, keep the k with the best silhouette: (score table, labelled days)."""
     low, high = k_range
     if low < 2 or high < low:
         raise ValueError("k_range must be at least 2 and rising")
     zs = [f"{c}_z" for c in columns]
-    days = with_vector(materialise(standardize(df, columns), "regimes"), zs)
+    days = materialise(standardize(df, columns), "regimes")
+    fits = fit_all(materialise(points(days, key, zs), "points"), [(k, s) for k in range(low, high + 1) for s in seeds], max_iter)
     tried = []
     for k in range(low, high + 1):
-        model = fit_kmeans(days, k, seeds)
-        labelled = model.transform(days)
-        exact = silhouette(labelled, key, "cluster_id", zs).first()["silhouette"]
-        tried.append((k, float(exact), float(model.summary.trainingCost), model))
+        fit = cheapest(fits[(k - low) * len(seeds) : (k - low + 1) * len(seeds)])
+        exact = silhouette(days.withColumn("cluster_id", fit.label(zs)), key, "cluster_id", zs).first()["silhouette"]
+        tried.append((k, float(exact), fit.cost, fit))
     best = max(tried, key=lambda t: (t[1], -t[0]))
     table = df.sparkSession.createDataFrame(
         [(k, s, c, k == best[0]) for k, s, c, _ in tried], "k int, silhouette double, cost double, chosen boolean"
     )
-    return table, best[3].transform(days).drop("features")
+    return table, days.withColumn("cluster_id", best[3].label(zs))
 
 
-def silhouette(df: DataFrame, key: str, cluster: str, columns: Sequence[str], max_points: int = MAX_EXACT_POINTS) -> DataFrame:
-    """Mean Euclidean silhouette, exact, for tables bounded by the calendar.
+def silhouette(df: DataFrame, key: str, cluster: str, columns: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Mean Euclidean silhouette, exact, for any number of points.
 
-    Rows are cut into blocks; each block's task also gets all points (a few
-    thousand days) and works on one block-by-points distance matrix. More than
-    ``max_points`` rows raise: use :func:`silhouette_squared` there.
+    Points are cut into blocks of about ``block_rows``. A task takes two blocks
+    and hands on, for each point of the first, its summed distance to the second
+    one's points of every cluster; these sums are added up over blocks. No task
+    holds more than two blocks, and no pair of points leaves a task. The work
+    itself is all pairs: :func:`silhouette_squared` is linear.
     """
-    points = df.select(F.col(key).alias("k"), F.col(cluster).cast("int").alias("c"), F.array(*[F.col(x).cast("double") for x in columns]).alias("x"))
-    n = points.agg(F.count(F.lit(1))).scalar()
-    blocks = F.when(n > max_points, F.raise_error(F.lit(f"more than {max_points} points"))).otherwise(F.ceil(n / BLOCK_ROWS)).cast("int")
-    left = points.withColumn("b", F.pmod(F.xxhash64("k"), blocks).cast("int"))
-    right = points.select(F.col("c").alias("to_c"), F.col("x").alias("to_x"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("to_b"))
-
-    def score(block: pd.DataFrame, everyone: pd.DataFrame) -> pd.DataFrame:
-        if block.empty:
-            return pd.DataFrame({"s": pd.Series(dtype="float64")})
-        x, y = np.stack(block["x"]), np.stack(everyone["to_x"])
-        groups, own = np.unique(everyone["to_c"].to_numpy()), block["c"].to_numpy()
-        member = (everyone["to_c"].to_numpy()[:, None] == groups[None, :]).astype(float)
-        sizes = member.sum(axis=0)
-        out = np.zeros(len(x))
+    x = F.array(*[F.col(c).cast("double") for c in columns])
+    rows = df.select(F.col(cluster).cast("int").alias("c"), x.alias("x"), F.xxhash64(key).alias("h"), F.monotonically_increasing_id().alias("p"))
+    rows = materialise(rows, "silhouette")
+    sizes = {r.c: r.n for r in rows.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a cluster
+    groups = np.array(sorted(sizes), np.int64)
+    blocks = max(1, math.ceil(sum(sizes.values()) / block_rows))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    placed = rows.withColumn("own", F.pmod(F.xxhash64("h", "p"), F.lit(blocks)).cast("int"))
+    left = placed.select("p", "c", "x", F.col("own").alias("b"), every.alias("other"))
+    right = placed.select(F.col("c").alias("to_c"), F.col("x").alias("to_x"), F.col("own").alias("to_other"), every.alias("to_b"))
+
+    def sums(block: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        if block.empty or others.empty:
+            return pd.DataFrame({"p": pd.Series(dtype="int64"), "c": pd.Series(dtype="int32"), "s": pd.Series(dtype="object")})
+        x, y = np.stack(block["x"]), np.stack(others["to_x"])
+        member = (others["to_c"].to_numpy()[:, None] == groups[None, :]).astype(float)
+        out = np.empty((len(x), len(groups)))
         for start in range(0, len(x), 256):
             part = x[start:start + 256]
-            far = np.sqrt(((part[:, None, :] - y[None, :, :]) ** 2).sum(axis=2))
-            sums = far @ member
-            mine = own[start:start + 256][:, None] == groups[None, :]
-            size = (mine * sizes).sum(axis=1)
-            inside = (sums * mine).sum(axis=1) / np.maximum(size - 1, 1)
-            outside = np.where(mine, np.inf, sums / sizes).min(axis=1)
-            value = (outside - inside) / np.maximum(inside, outside)
-            out[start:start + 256] = np.where(size > 1, value, 0.0)
-        return pd.DataFrame({"s": out})
-
-    scored = left.groupBy("b").cogroup(right.groupBy("to_b")).applyInPandas(score, "s double")
-    return scored.agg(F.avg("s").alias("silhouette"), F.count(F.lit(1)).alias("n"))
+            out[start:start + 256] = np.sqrt(((part[:, None, :] - y[None, :, :]) ** 2).sum(axis=2)) @ member
+        return pd.DataFrame({"p": block["p"], "c": block["c"], "s": list(out)})
+
+    pairs = left.groupBy("b", "other").cogroup(right.groupBy("to_b", "to_other")).applyInPandas(sums, "p long, c int, s array<double>")
+    total = pairs.groupBy("p", "c").agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(len(groups))])
+    inside, size, apart = F.lit(None).cast("double"), F.lit(0), []
+    for i, g in enumerate(groups.tolist()):
+        mine = F.col("c") == g
+        inside = F.when(mine, F.col(f"s{i}") / max(sizes[g] - 1, 1)).otherwise(inside)
+        size = F.when(mine, sizes[g]).otherwise(size)
+        apart.append(F.when(~mine, F.col(f"s{i}") / sizes[g]))
+    outside = F.array_min(F.array(*apart)) if len(groups) else F.lit(None).cast("double")
+    value = F.when(size > 1, (outside - inside) / nonzero(F.greatest(inside, outside))).otherwise(0.0)
+    return total.agg(F.avg(value).alias("silhouette"), F.count(F.lit(1)).alias("n"))
 
 
 def silhouette_squared(df: DataFrame, cluster: str, columns: Sequence[str]) -> float:
@@ -170,14 +167,11 @@ def adjusted_rand(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> Da
     return out.select(*keys, F.when(bottom == 0, 1.0).otherwise(top / nonzero(bottom)).alias("ari"))
 
 
-def stability(df: DataFrame, key: str, columns: Sequence[str], k: int, seeds: Sequence[int] = (0, 1, 2, 3, 4)) -> DataFrame:
-    """Mean pairwise adjusted Rand index over refits with different seeds."""
-    rows = with_vector(df, columns)
-    labelled = rows
-    for s in seeds:
-        model = KMeans(k=k, seed=s, maxIter=50, featuresCol="features", predictionCol=f"fit_{s}").fit(rows)
-        labelled = model.transform(labelled)
-    labelled = materialise(labelled.select(key, *[f"fit_{s}" for s in seeds]), "stability")
+def stability(df: DataFrame, key: str, columns: Sequence[str], k: int, seeds: Sequence[int] = (0, 1, 2, 3, 4), max_iter: int = MAX_ITER) -> DataFrame:
+    """Mean pairwise adjusted Rand index over fits from different seeds, all fitted in common passes."""
+    rows = materialise(df.select(key, *columns), "stability")
+    fits = fit_all(points(rows, key, columns), [(k, s) for s in seeds], max_iter)
+    labelled = rows.select(key, *[f.label(columns).alias(f"fit_{f.seed}") for f in fits])
     duo = [(i, j) for n, i in enumerate(seeds) for j in seeds[n + 1:]]
     stacked = labelled.select(F.inline(F.array(*[
         F.struct(F.lit(f"{i}-{j}").alias("duo"), F.col(f"fit_{i}").alias("a"), F.col(f"fit_{j}").alias("b")) for i, j in duo
