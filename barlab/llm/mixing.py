@@ -197,21 +197,23 @@ def mix(docs: DataFrame) -> DataFrame:
         rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("_size").alias("size"), F.col("_hash").alias("row")), "sizes"
     )
     sources, plan, placed = _plan(slim)
-    parts = _segments(placed, plan, ["doc_id", "row", "size", "begin"]).where("times > 0")
+    parts = _segments(placed, plan, ["doc_id", "source", "row", "size", "begin"]).where("times > 0")
     copies = parts.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    chosen = copies.groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), "size", "begin", "copy").agg(
+    chosen = copies.groupBy(F.col("doc_id").alias("_doc"), F.col("source").alias("_src"), F.col("row").alias("_row"), "size", "begin", "copy").agg(
         F.array_sort(F.collect_list(F.struct("from", "upto"))).alias("_parts"), F.sum(F.col("upto") - F.col("from")).alias("_words")
     )
-    # rows that agree in doc_id and text are as many in ``chosen``: they are numbered on both sides
-    same = Window.partitionBy("_doc", "_row", "copy").orderBy("begin")
+    # rows that agree in doc_id, source and text are numbered on both sides, here by all their columns
+    same = Window.partitionBy("_doc", "_src", "_row", "copy").orderBy("begin")
     chosen = chosen.withColumn("_n", F.dense_rank().over(same)).drop("begin", "size")
-    repeated = slim.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
+    repeated = slim.groupBy("doc_id", "source", "row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
     if repeated:
-        rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy(F.lit(0))))
+        rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "source", "_hash").orderBy(F.xxhash64(*docs.columns))))
     else:
         rows = rows.withColumn("_k", F.lit(1))
     joined = rows.join(
-        chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_row")) & (F.col("_k") == F.col("_n"))
+        chosen,
+        F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & F.col("source").cast("string").eqNullSafe(F.col("_src"))
+        & (F.col("_hash") == F.col("_row")) & (F.col("_k") == F.col("_n")),
     )
     # the list of words is bound once, as the only element of an array
     cut = lambda w: F.flatten(F.transform("_parts", lambda p: F.slice(w, (p["from"] + 1).cast("int"), (p["upto"] - p["from"]).cast("int"))))
