@@ -437,7 +437,7 @@ def _(fx):
     return ST.pooled_methods(ST.lift_summary(curves(fx)))
 
 
-_SHOWN = ["B0_R_alone", "B1_R_filterA", "S1_sector_filter", "S2_market_filter", "S3_both_filter"]
+_SHOWN = ["B0_R_alone", "B1_R_filterA", "S1_sector_filter", "S2_market_filter", "S3_both_filter", "S1_sector_rank", "S2_market_rank", "S3_both_rank"]
 
 
 @query("rst12_lift_pivot", "checkpoint " + " ".join(f"{m}:r" for m in _SHOWN),
