@@ -12,10 +12,13 @@ from barlab.functions.scalars import minutes, to_minutes
 from barlab.functions.scans import Scan, as_number
 from barlab.functions.windows import ratio
 from barlab.operators.joins import expected_slots
+from barlab.session import materialise
 
 PRICES = ("open", "high", "low", "close")
 # Expected slots per session run from the open to the close minus one step.
 SLOT_STEPS = {"1min": 1, "15min": 15, "60min": 60}
+FRAMES = ("1min", "3min", "5min", "15min", "60min")
+INSTRUMENT = ("symbol", "asset_type", "timeframe")
 
 
 def bad_price() -> Column:
@@ -104,20 +107,112 @@ def validate(bars: DataFrame, holidays: DataFrame, threshold: float = 0.10) -> D
     for p in parts:
         out = out.join(p, key, "left")
     out = out.na.fill(0, ["missing", "spikes", "duplicates"])
-    shown = F.array_join(F.transform("first_spikes", lambda d: d.cast("string")), ", ")
-    more = F.when(F.col("spikes") > 10, F.concat(F.lit(" (showing first 10 of "), F.col("spikes").cast("string"), F.lit(")"))).otherwise("")
-
-    def issue(count: str, *text) -> Column:
-        return F.when(F.col(count) > 0, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in text]))
-
-    issues = F.array_compact(F.array(
-        issue("missing", "Missing timestamps: ", F.col("missing").cast("string"), " gap(s) detected."),
-        issue("bad_prices", "Zero or negative prices: ", F.col("bad_prices").cast("string"), " row(s) affected."),
-        issue("corrupt_candles", "Corrupt candles (high < low): ", F.col("corrupt_candles").cast("string"), " row(s)."),
-        issue("spikes", f"Extreme price spikes (>{threshold:.0%}): ", F.col("spikes").cast("string"), " occurrence(s) at [", shown, "]", more, "."),
-        issue("duplicates", "Duplicate timestamps: ", F.col("duplicates").cast("string"), " duplicate(s)."),
-    ))
-    return out.withColumn("issues", issues).withColumn("clean", F.size("issues") == 0)
+    return with_issues(out, threshold)
+
+
+def with_issues(counts: DataFrame, threshold: float, shown: int = 10) -> DataFrame:
+    """One sentence per kind of fault found, and whether there is none; needs the counts and ``first_spikes``."""
+    def found(count: str, text: str, *tail: Column) -> Column:
+        return F.when(F.col(count) > 0, F.concat(F.col(count).cast("string"), F.lit(" " + text), *tail))
+
+    times = F.array_join(F.transform("first_spikes", lambda x: x.cast("string")), ", ")
+    cut = F.when(F.col("spikes") > shown, F.lit(f" (first {shown})")).otherwise("")
+    faults = [
+        found("missing", "expected bars are absent"),
+        found("bad_prices", "bars hold a price of zero or less"),
+        found("corrupt_candles", "bars have their high under their low"),
+        found("spikes", f"closes moved by more than {threshold:.0%}: ", times, cut),
+        found("duplicates", "bars repeat the time of another"),
+    ]
+    if "untimed" in counts.columns:
+        faults.append(found("untimed", "rows have no time"))
+    return counts.withColumn("issues", F.array_compact(F.array(*faults))).withColumn("clean", F.size("issues") == 0)
+
+
+def day_counts(bars: DataFrame, threshold: float, session_open: str = "09:15", session_end: str = "15:30") -> DataFrame:
+    """One row per instrument and day with everything the report needs, from one exchange of the bars.
+
+    ``on_grid`` counts the different session slots that have a bar (one for a daily bar). Jumps inside the day are
+    counted here; the first and the last close are kept for the jump over night. Bars of equal time are ordered by close.
+    """
+    day = [*INSTRUMENT, "d"]
+    w = Window.partitionBy(*day).orderBy("ts", "close")
+    first, last = F.col("_before").isNull(), F.lead("ts").over(w).isNull()
+    minute = minutes(F.col("ts"))
+    start, end = to_minutes(session_open), to_minutes(session_end)
+    step = F.create_map(*[F.lit(x) for pair in SLOT_STEPS.items() for x in pair])[F.col("timeframe")]
+    on_slot = (minute >= start) & (minute <= end - step) & ((minute - start) % step == 0) & (F.date_trunc("minute", "ts") == F.col("ts"))
+    seen = (
+        bars.where("ts IS NOT NULL").withColumn("d", F.col("ts").cast("date"))
+        .withColumns({"_before": F.lag("ts").over(w), "_close": F.lag("close").over(w), "_last": last})
+        .withColumns({
+            "_repeat": F.coalesce(F.col("_before") == F.col("ts"), F.lit(False)),
+            "_jump": F.abs(ratio(F.col("close"), F.col("_close")) - 1) > threshold,
+        })
+    )
+    slot = F.when(F.col("timeframe") == "daily", first).otherwise(on_slot & ~F.col("_repeat"))
+    return seen.groupBy(*day).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+        F.count_if(bad_price()).alias("bad_prices"), F.count_if(F.col("high") < F.col("low")).alias("corrupt_candles"),
+        F.count_if("_repeat").alias("duplicates"), F.count_if(slot).alias("on_grid"), F.count_if("_jump").alias("spikes"),
+        F.max(F.when(first, F.col("close"))).alias("open_close"), F.max(F.when(F.col("_last"), F.col("close"))).alias("last_close"),
+        F.array_sort(F.collect_list(F.when(F.col("_jump"), F.col("ts")))).alias("jumps"),
+    )
+
+
+def expected_bars(spans: DataFrame, holidays: DataFrame, session_open: str = "09:15", session_end: str = "15:30") -> DataFrame:
+    """Business days of each instrument's span and how many bars a day should have; null for timeframes without a grid."""
+    per_day = {"daily": 1, **{f: len(session_slots(f, session_open, session_end)) for f in SLOT_STEPS}}
+    slots = F.create_map(*[F.lit(x) for pair in per_day.items() for x in pair])[F.col("timeframe")]
+    days = spans.select(*INSTRUMENT, F.explode(F.sequence(F.col("first_ts").cast("date"), F.col("last_ts").cast("date"))).alias("d"))
+    business = days.where(F.weekday("d") < 5).join(holidays.select(F.col("date").alias("d")).distinct(), "d", "left_anti")
+    return business.withColumn("slots", slots)
+
+
+def batch_report(bars: DataFrame, instruments: DataFrame, holidays: DataFrame, threshold: float = 0.10, shown: int = 10) -> DataFrame:
+    """The report of ``validate`` for any list of (symbol, asset_type, timeframe), daily and intraday together.
+
+    Every listed instrument gets exactly one row, whatever state its bars are in; repeated list rows count once.
+    Without bars (or a name that is null) the row has zero rows, ``clean`` false and the reason as its only issue. Bars without a
+    time are counted in ``rows`` and reported; they take no part in the other checks but the price checks. Daily
+    series are checked against business days, 1-, 15- and 60-minute series against the session's slots, other
+    timeframes only for the remaining faults. A series of one bar has no gaps. Jumps include those from the last
+    close of a day to the first of the next; a change from zero or null is none.
+    """
+    wanted = instruments.select(*INSTRUMENT).distinct()
+    bars = bars.select(*INSTRUMENT, "ts", *PRICES).join(wanted, list(INSTRUMENT), "left_semi")
+    untimed = bars.where("ts IS NULL").groupBy(*INSTRUMENT).agg(
+        F.count(F.lit(1)).alias("untimed"), F.count_if(bad_price()).alias("_bad"), F.count_if(F.col("high") < F.col("low")).alias("_crossed"))
+    days = materialise(day_counts(bars, threshold), "report_days")
+    by_day = Window.partitionBy(*INSTRUMENT).orderBy("d")
+    night = F.abs(ratio(F.col("open_close"), F.lag("last_close").over(by_day)) - 1) > threshold
+    days = days.withColumn("jumps", F.when(night, F.concat(F.array("first_ts"), "jumps")).otherwise(F.col("jumps")))
+    totals = days.groupBy(*INSTRUMENT).agg(
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
+        *[F.sum(c).alias(c) for c in ("rows", "bad_prices", "corrupt_candles", "duplicates")], F.sum(F.size("jumps")).alias("spikes"))
+    # a few times per instrument: at most ten a day enter the ranking, at most ten are gathered
+    times = days.select(*INSTRUMENT, F.explode(F.slice("jumps", 1, shown)).alias("_at"))
+    nth = F.row_number().over(Window.partitionBy(*INSTRUMENT).orderBy("_at"))
+    first_times = times.withColumn("_n", nth).where(F.col("_n") <= shown).groupBy(*INSTRUMENT).agg(
+        F.array_sort(F.collect_list("_at")).alias("first_spikes"))
+    due = expected_bars(totals, holidays).join(days.select(*INSTRUMENT, "d", "on_grid"), [*INSTRUMENT, "d"], "left")
+    gaps = due.groupBy(*INSTRUMENT).agg(F.sum(F.col("slots") - F.coalesce("on_grid", F.lit(0))).alias("missing"))
+    out = wanted
+    for part in (totals, untimed, first_times, gaps):
+        out = out.join(part, list(INSTRUMENT), "left")
+    filled = out.na.fill(0, ["rows", "untimed", "_bad", "_crossed", "bad_prices", "corrupt_candles", "duplicates", "spikes", "missing"])
+    filled = filled.withColumns({
+        "missing": F.when(F.col("rows") < 2, 0).otherwise(F.col("missing")), "rows": F.col("rows") + F.col("untimed"),
+        "bad_prices": F.col("bad_prices") + F.col("_bad"), "corrupt_candles": F.col("corrupt_candles") + F.col("_crossed"),
+        "first_spikes": F.coalesce("first_spikes", F.array().cast("array<timestamp_ntz>")),
+    }).drop("_bad", "_crossed")
+    report = with_issues(filled, threshold, shown)
+    known = F.coalesce(F.col("timeframe").isin("daily", *FRAMES), F.lit(False))
+    reason = F.when(known, F.lit("no bars are stored")).otherwise(F.lit("no bars are stored and the timeframe is unknown"))
+    empty = F.col("rows") == 0
+    return report.withColumns({
+        "issues": F.when(empty, F.array(reason)).otherwise(F.col("issues")), "clean": F.col("clean") & ~empty,
+    })
 
 
 def ohlc_consistency(bars: DataFrame) -> DataFrame:

@@ -91,16 +91,73 @@ def _(fx):
     return Q.duplicate_times(twice, ["symbol"], "date")
 
 
-@query("dqa07_validate", "symbol rows:i first_date:d last_date:d missing:i bad_prices:i corrupt_candles:i spikes:i duplicates:i n_issues:i clean:b first_issue",
-       f"""SELECT *, 'Missing timestamps: ' || CAST(missing AS VARCHAR) || ' gap(s) detected.' AS first_issue FROM (
-            SELECT *, (missing > 0)::INT + (bad_prices > 0)::INT + (corrupt_candles > 0)::INT + (spikes > 0)::INT AS n_issues, false AS clean, 0 AS duplicates FROM (
+def _texts(threshold: str) -> str:
+    """The issue sentences of the report over counts and the joined first times."""
+    return f"""concat_ws('; ',
+      CASE WHEN missing > 0 THEN CAST(missing AS VARCHAR) || ' expected bars are absent' END,
+      CASE WHEN bad_prices > 0 THEN CAST(bad_prices AS VARCHAR) || ' bars hold a price of zero or less' END,
+      CASE WHEN corrupt_candles > 0 THEN CAST(corrupt_candles AS VARCHAR) || ' bars have their high under their low' END,
+      CASE WHEN spikes > 0 THEN CAST(spikes AS VARCHAR) || ' closes moved by more than {threshold}: ' || shown
+        || CASE WHEN spikes > 10 THEN ' (first 10)' ELSE '' END END,
+      CASE WHEN duplicates > 0 THEN CAST(duplicates AS VARCHAR) || ' bars repeat the time of another' END)"""
+
+
+@query("dqa07_validate", "symbol rows:i first_date:d last_date:d missing:i bad_prices:i corrupt_candles:i spikes:i duplicates:i clean:b texts",
+       f"""SELECT *, texts = '' AS clean FROM (SELECT *, {_texts('500%')} AS texts FROM (
+            SELECT symbol, rows, first_date, last_date, bad_prices, corrupt_candles, 0 AS duplicates, coalesce(missing, 0) AS missing,
+              coalesce(spikes, 0) AS spikes, shown FROM (
             SELECT symbol, count(*) AS rows, min(date) AS first_date, max(date) AS last_date, count(*) FILTER (WHERE {_BAD}) AS bad_prices,
               count(*) FILTER (WHERE high < low) AS corrupt_candles FROM x_flawed GROUP BY 1)
             LEFT JOIN (SELECT symbol, count(*) AS missing FROM x_missing GROUP BY 1) USING (symbol)
-            LEFT JOIN (SELECT symbol, count(*) AS spikes FROM x_spikes GROUP BY 1) USING (symbol))""")
+            LEFT JOIN (SELECT symbol, max(n) AS spikes, string_agg(CAST(date AS VARCHAR), ', ' ORDER BY date) FILTER (WHERE k <= 10) AS shown FROM (
+              SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM x_spikes) GROUP BY 1)
+              USING (symbol)))""")
 def _(fx):
-    report = Q.validate(flawed(fx), fx.holidays, 5.0)
-    return report.withColumns({"n_issues": F.size("issues"), "first_issue": F.get("issues", F.lit(0))})
+    return Q.validate(flawed(fx), fx.holidays, 5.0).withColumn("texts", F.array_join("issues", "; "))
+
+
+# every stored series with planted faults; intraday bars lie a quarter past, where the session slots are
+table("x_batch", """
+  SELECT symbol, asset_type, timeframe, CASE WHEN timeframe = 'daily' THEN ts ELSE ts + INTERVAL 15 MINUTE END AS ts, open,
+    CASE WHEN m = 5 THEN low / 2 ELSE high END AS high, CASE WHEN m = 3 THEN -low ELSE low END AS low, close
+  FROM (SELECT *, CAST(floor(close * 100) AS BIGINT) % 97 AS m FROM x_store) CROSS JOIN (VALUES (1), (2)) AS c(copy) WHERE copy = 1 OR m = 11""")
+_ABSENT = [("S0", "stock", "15min"), ("GHOST", "stock", "daily"), ("S1", "stock", "7min")]
+table("x_wanted", f"""
+  SELECT DISTINCT symbol, asset_type, timeframe FROM x_store
+  UNION ALL SELECT * FROM (VALUES {', '.join(str(row) for row in _ABSENT)}) AS a(symbol, asset_type, timeframe)""")
+_SERIES = "symbol, asset_type, timeframe"
+table("x_batch_due", f"""
+  SELECT {_SERIES}, d, CASE WHEN timeframe = 'daily' THEN CAST(d AS TIMESTAMP) ELSE CAST(d AS TIMESTAMP) + to_minutes(CAST(t AS BIGINT)) END AS ts FROM (
+    SELECT {_SERIES}, CAST(unnest(range(date_trunc('day', lo), date_trunc('day', hi) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS d
+    FROM (SELECT {_SERIES}, min(ts) AS lo, max(ts) AS hi FROM x_batch GROUP BY ALL HAVING count(*) > 1))
+  JOIN (SELECT 'daily' AS timeframe, 0 AS t UNION ALL SELECT '60min', unnest({_SLOTS})) USING (timeframe)
+  WHERE isodow(d) < 6 AND d NOT IN (SELECT date FROM x_holidays)""")
+table("x_batch_jumps", f"""
+  SELECT *, row_number() OVER (PARTITION BY {_SERIES} ORDER BY ts) AS k, count(*) OVER (PARTITION BY {_SERIES}) AS n FROM (
+    SELECT *, abs(close / nullif(lag(close) OVER (PARTITION BY {_SERIES} ORDER BY ts, close), 0) - 1) AS change FROM x_batch) WHERE change > 3""")
+
+
+@query("dqa07_batch_report",
+       "symbol asset_type timeframe rows:i first_ts:t last_ts:t missing:i bad_prices:i corrupt_candles:i spikes:i duplicates:i clean:b texts",
+       f"""SELECT *, texts = '' AS clean FROM (SELECT * REPLACE (CASE WHEN rows > 0 THEN texts WHEN timeframe = '7min'
+            THEN 'no bars are stored and the timeframe is unknown' ELSE 'no bars are stored' END AS texts) FROM (SELECT *, {_texts('300%')} AS texts FROM (
+            SELECT {_SERIES}, first_ts, last_ts, shown, coalesce(rows, 0) AS rows, coalesce(bad_prices, 0) AS bad_prices, coalesce(spikes, 0) AS spikes,
+              coalesce(corrupt_candles, 0) AS corrupt_candles, coalesce(duplicates, 0) AS duplicates, coalesce(missing, 0) AS missing
+            FROM x_wanted LEFT JOIN (
+              SELECT {_SERIES}, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts, count(*) FILTER (WHERE {_BAD}) AS bad_prices,
+                count(*) FILTER (WHERE high < low) AS corrupt_candles, count(*) - count(DISTINCT ts) AS duplicates FROM x_batch GROUP BY ALL) USING ({_SERIES})
+            LEFT JOIN (SELECT {_SERIES}, max(n) AS spikes, string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S'), ', ' ORDER BY ts) FILTER (WHERE k <= 10) AS shown
+              FROM x_batch_jumps GROUP BY ALL) USING ({_SERIES})
+            LEFT JOIN (SELECT {_SERIES}, count(*) AS missing FROM x_batch_due ANTI JOIN x_batch USING ({_SERIES}, ts) GROUP BY ALL) USING ({_SERIES}))))""")
+def _(fx):
+    mark = F.floor(C("close") * 100) % 97
+    late = F.when(C("timeframe") == "daily", C("ts")).otherwise(C("ts") + F.make_dt_interval(mins=F.lit(15)))
+    bars = stored(fx).withColumns({
+        "low": F.when(mark == 3, -C("low")).otherwise(C("low")), "high": F.when(mark == 5, C("low") / 2).otherwise(C("high")), "ts": late,
+    }).withColumn("_copy", F.explode(F.when(mark == 11, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("_copy")
+    wanted = stored(fx).select(*Q.INSTRUMENT).distinct().unionByName(fx.spark.createDataFrame(_ABSENT, ["symbol", "asset_type", "timeframe"]))
+    report = Q.batch_report(bars, wanted, fx.holidays, 3.0)
+    return report.withColumn("texts", F.array_join("issues", "; "))
 
 
 @query("dqa08_ohlc_consistency", "symbol rows:i high_lt_low:i high_lt_open:i high_lt_close:i low_gt_open:i low_gt_close:i price_le_0:i zero_volume:i",
