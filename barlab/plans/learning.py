@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlab.operators import anomalies as AN
@@ -11,8 +12,7 @@ from barlab.operators import labels as LB
 from barlab.operators import panel as P
 from barlab.operators import scores as SC
 from barlab.operators import splits as SP
-from barlab.operators.joins import attach_by_date
-from barlab.plans.panels import daily, market, market_days, stock_days
+from barlab.plans.panels import USABLE, daily, market_days, panel, stock_days
 from barlab.plans.registry import query
 from barlab.plans.sql_base import table
 from barlab.session import materialise
@@ -205,48 +205,50 @@ def _(fx):
 
 # classifier
 
-FEATURES = ["abs_ret_1d", "atr_pct", "range_pct", "vol_ratio_short_long", "volume_ratio_20d", "abs_ret_zscore_20d", "vix_level",
-            "rvol_20d", "gap_pct", "index_rvol_20d"]
-FAST = {"maxIter": 4, "maxDepth": 3, "stepSize": 0.2}
+FEATURES = [*USABLE, "range_zscore_20d", "abs_ret_zscore_20d"]
+# What the queries ask of the protocol: all folds and features, but a shorter wait for a better round and fewer trials than the defaults.
+QUERY_PATIENCE, SEARCH_PATIENCE, SEARCH_TRIALS = 20, 10, 4
+_LABELLED: dict[tuple[str, str], DataFrame] = {}
+_BOOSTED: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
 def labelled(fx):
-    base = attach_by_date(P.volume_features(daily(fx)), market(fx))
-    rows = LB.add_labels(base, fx.corp_actions, 1, 1.0)
-    return materialise(rows.select("symbol", "date", "y", "fwd_abs_ret", "label_threshold", *FEATURES), "labelled")
+    """The labelled panel with all its features, written once per session."""
+    key = (fx.spark.sparkContext.applicationId, fx.folder)
+    if key not in _LABELLED:
+        rows = LB.add_labels(panel(fx), fx.corp_actions, 1, 1.0)
+        numbers = [C(f).cast("double").alias(f) for f in FEATURES]
+        _LABELLED[key] = materialise(rows.select("symbol", "date", "y", "fwd_abs_ret", "label_threshold", *numbers), "labelled")
+    return _LABELLED[key]
 
 
-def two_folds(rows):
-    return materialise(SP.purged_walk_forward(rows, n_folds=2), "folds")
+def outer_folds(rows):
+    return materialise(SP.purged_walk_forward(rows), "folds")
 
 
-def train_test(fx):
-    rows = labelled(fx)
-    return CL.fold_rows(rows, two_folds(rows), 0)
+def boosted(fx):
+    """Scores and gains of the boosters of all outer folds, fitted once per session."""
+    key = (fx.spark.sparkContext.applicationId, fx.folder)
+    if key not in _BOOSTED:
+        rows = labelled(fx)
+        _BOOSTED[key] = CL.boosted_folds(rows, outer_folds(rows), FEATURES, patience=QUERY_PATIENCE)
+    return _BOOSTED[key]
 
 
-table("x_fold0", "SELECT * FROM (" + """
-  SELECT l.*, f.role FROM (SELECT symbol, date, atr_pct, abs_ret_1d, CASE WHEN n > 60 AND fwd IS NOT NULL AND thr > 0 AND NOT hit AND NOT coalesce(nexthit, false)
+table("x_outer", "SELECT * FROM (" + """
+  SELECT l.*, f.fold, f.role FROM (SELECT symbol, date, atr_pct, abs_ret_1d, CASE WHEN n > 60 AND fwd IS NOT NULL AND thr > 0 AND NOT hit AND NOT coalesce(nexthit, false)
       THEN CASE WHEN abs(fwd) > thr THEN 1.0 ELSE 0.0 END END AS y FROM (
     SELECT *, lead(hit) OVER (PARTITION BY symbol ORDER BY date) AS nexthit FROM (
       SELECT *, lead(close) OVER (PARTITION BY symbol ORDER BY date) / close - 1 AS fwd, rvol_20d AS thr,
         (symbol, date) IN (SELECT (symbol, ex_date) FROM x_corp) AS hit FROM x_p3))) l
-  JOIN x_half f USING (date) WHERE y IS NOT NULL)""")
-
-
-def _half():
-    from barlab.plans.panels import folds_sql
-
-    return f"SELECT * FROM ({folds_sql('x_dates', 2, 11, 250)}) WHERE fold = 0"
-
-
-table("x_half", _half())
+  JOIN x_folds f USING (date) WHERE y IS NOT NULL)""")
 
 
-@query("mlc01_prior_baseline", "symbol date:d y:i p:r",
-       "SELECT *, (SELECT avg(y) FROM x_fold0 WHERE role = 'train') AS p FROM x_fold0 WHERE role = 'test'")
+@query("mlc01_prior_baseline", "fold:i symbol date:d y:i p:r",
+       "SELECT * FROM x_outer JOIN (SELECT fold, avg(y) AS p FROM x_outer WHERE role = 'train' GROUP BY 1) USING (fold) WHERE role = 'test'")
 def _(fx):
-    return CL.prior_score(*train_test(fx))
+    rows = labelled(fx)
+    return CL.prior_folds(rows, outer_folds(rows))
 
 
 @query("mlc02_vol_cluster_score", "symbol date:d p:r", "SELECT symbol, date, 1 - exp(-coalesce(abs_ret_1d / nullif(atr_pct, 0), 0) / 2) AS p FROM x_p3")
@@ -254,34 +256,29 @@ def _(fx):
     return CL.vol_cluster_score(daily(fx))
 
 
-@query("mlc03_logit_baseline", "symbol date:d y:i p:r")
+@query("mlc03_logit_baseline", "fold:i symbol date:d y:i p:r")
 def _(fx):
-    train, test = train_test(fx)
-    return CL.logit_baseline(train, test)
+    rows = labelled(fx)
+    return CL.logit_folds(rows, outer_folds(rows))
 
 
-@query("mlc04_boosted_trees", "symbol date:d y:i p:r")
+@query("mlc04_boosted_trees", "fold:i symbol date:d y:i p:r")
 def _(fx):
-    train, test = train_test(fx)
-    return CL.boosted_trees(train, test, FEATURES, FAST)[0]
+    return boosted(fx)[0]
 
 
-@query("mlc05_random_search", "trial:i mean_pr_auc:r maxDepth:i stepSize:r")
+@query("mlc05_random_search", "trial:i mean_pr_auc:r maxDepth:i stepSize:r minInstancesPerNode:i subsamplingRate:r featureSubsetStrategy:r")
 def _(fx):
     rows = labelled(fx)
     dev = SP.dev_eval_split(rows).where("role = 'dev'")
-    inner = materialise(SP.inner_folds(rows, dev, n_folds=2, min_train=SP.MIN_TRAIN // 2), "inner")
-    return CL.random_search(rows, inner, FEATURES[:4], CL.random_params(2), {"maxIter": 3})
-
-
-def scored_blocks(fx):
-    rows = labelled(fx)
-    return CL.walk_forward(rows, two_folds(rows), FEATURES, FAST)
+    inner = materialise(SP.inner_folds(rows, dev, min_train=SP.MIN_TRAIN // 2), "inner")
+    return CL.random_search(rows, inner, FEATURES, CL.random_params(SEARCH_TRIALS), patience=SEARCH_PATIENCE)
 
 
 @query("mlc06_walk_forward", "strategy fold:i symbol date:d y:i fwd_abs_ret:r label_threshold:r p:r")
 def _(fx):
-    return scored_blocks(fx)
+    rows = labelled(fx)
+    return CL.walk_forward(rows, outer_folds(rows), FEATURES, boosted=boosted(fx)[0])
 
 
 # metrics on labels scored by document length
@@ -373,10 +370,8 @@ def _(fx):
 
 @query("mlc13_importance_table", "scope feature importance:r rank:i cumulative_share:r")
 def _(fx):
-    train, test = train_test(fx)
-    _scored, model = CL.boosted_trees(train, test, FEATURES, FAST)
-    gains = CL.gain_importance(model, FEATURES, fx.spark).withColumn("scope", F.lit("gain"))
-    return AN.importance_table(gains)
+    gains = boosted(fx)[1].groupBy("feature").agg(F.avg("importance").alias("importance"))
+    return AN.importance_table(gains.withColumn("scope", F.lit("gain")))
 
 
 _SEEN = ["abs_ret_1d", "atr_pct", "range_pct", "rvol_20d"]

@@ -271,17 +271,17 @@ def _(fx):
     return market_days(fx)
 
 
-_USABLE = [name for f in _PANEL.split() if (name := f.split(":")[0]) not in FL.BOOKKEEPING]
+USABLE = [name for f in _PANEL.split() if (name := f.split(":")[0]) not in FL.BOOKKEEPING]
 
 
 @query("prj12_usable_features", "feature filled:r varies:b usable:b",
        "WITH p AS MATERIALIZED (SELECT * FROM x_panel) "
        + " UNION ALL ".join(f"SELECT '{f}' AS feature, count({f}) / count(*) AS filled, coalesce(min({f}) < max({f}), false) AS varies, "
-                            f"count({f}) / count(*) >= 0.01 AND coalesce(min({f}) < max({f}), false) AS usable FROM p" for f in _USABLE)
+                            f"count({f}) / count(*) >= 0.01 AND coalesce(min({f}) < max({f}), false) AS usable FROM p" for f in USABLE)
        + " UNION ALL SELECT 'constant', 1.0, false, false UNION ALL SELECT 'sparse', 1.0 / count(*), false, false FROM p")
 def _(fx):
     first = F.when((C("symbol") == "S0") & C("ret_1d").isNull(), 1.0)
-    wide = panel(fx).select("symbol", "date", *[C(f).cast("double").alias(f) for f in _USABLE], F.lit(1.0).alias("constant"), first.alias("sparse"))
+    wide = panel(fx).select("symbol", "date", *[C(f).cast("double").alias(f) for f in USABLE], F.lit(1.0).alias("constant"), first.alias("sparse"))
     return FL.feature_usability(wide)
 
 
