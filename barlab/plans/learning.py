@@ -207,7 +207,7 @@ def _(fx):
 
 FEATURES = [*USABLE, "range_zscore_20d", "abs_ret_zscore_20d"]
 # What the queries ask of the protocol: all folds and features, but a shorter wait for a better round and fewer trials than the defaults.
-QUERY_PATIENCE, SEARCH_PATIENCE, SEARCH_TRIALS = 20, 10, 4
+QUERY_PATIENCE, SEARCH_PATIENCE, SEARCH_TRIALS = 20, 5, 2
 _LABELLED: dict[tuple[str, str], DataFrame] = {}
 _BOOSTED: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
