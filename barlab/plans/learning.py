@@ -207,7 +207,7 @@ def _(fx):
 
 FEATURES = [*USABLE, "range_zscore_20d", "abs_ret_zscore_20d"]
 # What the queries ask of the protocol: all folds and features, but a shorter wait for a better round and fewer trials than the defaults.
-QUERY_PATIENCE, SEARCH_PATIENCE, SEARCH_TRIALS = 20, 5, 2
+QUERY_PATIENCE, SEARCH_PATIENCE, SEARCH_ROUNDS, SEARCH_TRIALS = 20, 5, 8, 2
 _LABELLED: dict[tuple[str, str], DataFrame] = {}
 _BOOSTED: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
@@ -272,7 +272,7 @@ def _(fx):
     rows = labelled(fx)
     dev = SP.dev_eval_split(rows).where("role = 'dev'")
     inner = materialise(SP.inner_folds(rows, dev, min_train=SP.MIN_TRAIN // 2), "inner")
-    return CL.random_search(rows, inner, FEATURES, CL.random_params(SEARCH_TRIALS), patience=SEARCH_PATIENCE)
+    return CL.random_search(rows, inner, FEATURES, CL.random_params(SEARCH_TRIALS), patience=SEARCH_PATIENCE, max_rounds=SEARCH_ROUNDS)
 
 
 @query("mlc06_walk_forward", "strategy fold:i symbol date:d y:i fwd_abs_ret:r label_threshold:r p:r")
