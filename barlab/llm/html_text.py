@@ -4,11 +4,20 @@ A small scanner cuts a page into blocks with what stands around them, inside
 the task that reads the page: a page is one row, so its blocks need no shuffle
 and no table of their own. The first pass decides blocks by where they
 stand (menus, headers, footers, asides, forms, notices, adverts, comments), by
-link density, and by length and stop-word density together. What is left, short
+link density, and by length and stop-word density together. Where most of the
+long text of a page has few of the listed stop words, its language is none of
+the listed ones, and length and link density decide alone. What is left, short
 blocks and long ones with few stop words, takes the label of the nearest
 decided neighbour in its region (the article, or the page around it); between
-a good and a bad one at the same distance good wins, and an article without
-any decided block is text.
+a good and a bad one at the same distance good wins. A region without any good
+block has no bad neighbours but in the page around an article: an undecided
+article is text, and so is an undecided page without an article and without
+link-heavy blocks.
+
+What a class, id or role names counts part by part within one name, but not in
+a name that tells a state (``has-sidebar``), nor ``header`` within an article or
+as an article's. ``main`` lifts such a mark from around it. If a page would have
+no text, articles that stand aside only by such a name (never comments) are read.
 
 Defined cases: a null or empty page has the empty text; broken markup is read
 as far as it goes (an unclosed comment, script or tag ends with the page);
@@ -29,6 +38,8 @@ from pyspark.sql import functions as F
 LONG = 60
 STOP_DENSITY = 0.15
 LINK_DENSITY = 0.5
+#: Least share of a page's long text that fits the listed languages.
+FITTING = 0.25
 #: Frequent function words of the languages to expect. A parameter.
 STOP_WORDS = (
     "the of and to in is it that for with be on as by this was are or from at an not have which but they his her you we "
@@ -44,9 +55,16 @@ ASIDE_NAMES = (
     "login search contentinfo complementary dialog alert pagination pager toc toolbar skip copyright"
 ).split()
 
+#: Names that mark what readers wrote: no article either, whatever the element. A parameter of the rules, as are the next two.
+COMMENT_NAMES = frozenset("comment comments respond reply replies disqus".split())
+#: A name with one of these tells how a wrapper looks, not what it is.
+STATES = frozenset("has with without no not is js active enabled disabled open opened closed visible free".split())
+#: A header named after one of these is the article's own.
+OWN_HEADERS = frozenset("article post entry story".split())
+
 # Fixed values of HTML: elements whose content is no text, elements that break lines, and those that hold others.
-SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "select", "textarea", "head", "title", "object", "canvas", "math", "option", "button"}
-ASIDE_TAGS = {"nav", "footer", "aside", "form", "header", "dialog", "menu", "fieldset", "figcaption"}
+SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "select", "textarea", "head", "title", "object", "canvas", "annotation", "annotation-xml", "option", "button"}
+ASIDE_TAGS = {"nav", "footer", "aside", "form", "header", "dialog", "menu", "fieldset"}
 BREAKS = {"p", "div", "article", "section", "main", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "tr", "td", "th",
           "thead", "tbody", "caption", "blockquote", "pre", "nav", "header", "footer", "aside", "form", "hr", "figure", "figcaption", "body", "html",
           "address", "details", "summary", "fieldset", "dialog", "menu"}
@@ -55,22 +73,37 @@ VOID = {"br", "hr", "img", "input", "meta", "link", "source", "wbr", "col", "are
 
 _INSIDE = re.compile(r"""[^"'>]*+(?:"[^"]*+"[^"'>]*+|'[^']*+'[^"'>]*+)*+>""")
 _NAME = re.compile(r"/?([A-Za-z][A-Za-z0-9:-]*)")
-_MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_MARKS = re.compile(r"""(?<![^\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\shidden(?=[\s=>/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _SPACE = re.compile(r"\s+")
 _PARTS = re.compile(r"[a-z]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
-#: Text, characters in links, stands aside, stands in the article.
-Block = tuple[str, int, bool, bool]
+#: Text, characters in links, how it stands aside, whether it stands in the article.
+Block = tuple[str, int, int, bool]
+#: Ways to stand aside: by a name only, or by an element, hidden, or among comments.
+NAMED, FIRM = 1, 2
+
+
+def named_aside(attributes: str, names: frozenset[str], article: bool) -> int:
+    """How the names of an element put it aside."""
+    found = 0
+    for m in _MARKS.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = _PARTS.findall(name)
+            if STATES.isdisjoint(parts):
+                own = article or (parts and parts[0] in OWN_HEADERS)
+                hits = [p for p in parts if p in names and not (p == "header" and own)]
+                found = max(found, FIRM if not COMMENT_NAMES.isdisjoint(hits) else NAMED if hits else 0)
+    return found
 
 
 def blocks_of(page: str, names: frozenset[str]) -> Iterator[Block]:
     """Every block that has text, in page order."""
-    holders: list[tuple[str, bool, bool]] = []  # element, aside, article
+    holders: list[tuple[str, int, bool]] = []  # element, aside, article
     pieces: list[tuple[str, bool]] = []
-    link = False
-    aside = article = False
+    link = article = False
+    aside = 0
 
     def block() -> Iterator[Block]:
         # references may be cut by inline markup, never joined by it: each piece is decoded by itself
@@ -127,11 +160,14 @@ def blocks_of(page: str, names: frozenset[str]) -> Iterator[Block]:
                 if where is not None:
                     del holders[where:]
             elif tag not in VOID:
-                marked = any(p in names for m in _MARKS.finditer(rest) for g in m.groups() if g for p in _PARTS.findall(g.lower()))
-                core = tag in ("article", "main")
-                side = marked and not core or tag in ASIDE_TAGS and not (tag == "header" and article) or bool(_HIDDEN.search(rest))
-                holders.append((tag, aside or side, article or core))
-            aside, article = (holders[-1][1], holders[-1][2]) if holders else (False, False)
+                marked = named_aside(rest, names, article)
+                if tag in ("article", "main"):
+                    marked = FIRM if marked == FIRM else 0
+                if tag in ASIDE_TAGS and not (tag == "header" and article) or _HIDDEN.search(rest):
+                    marked = FIRM
+                around = 0 if tag == "main" and aside == NAMED else aside
+                holders.append((tag, max(around, marked), article or tag in ("article", "main")))
+            aside, article = (holders[-1][1], holders[-1][2]) if holders else (0, False)
     yield from block()
 
 
@@ -140,22 +176,32 @@ def _find_end(page: str, tag: str, at: int) -> int:
     return found.start() if found else -1
 
 
-def first_label(block: Block, stop_words: frozenset[str]) -> int | None:
-    """1 text, 0 not, None undecided."""
-    text, link_chars, aside, _ = block
-    if aside or link_chars > LINK_DENSITY * len(text):
-        return 0
-    if len(text) < LONG:
-        return None
-    found = _LETTERS.findall(text.lower())
-    return 1 if sum(w in stop_words for w in found) >= STOP_DENSITY * max(len(found), 1) else None
+def first_labels(found: list[Block], stop_words: frozenset[str]) -> list[int | None]:
+    """1 text, 0 not, None undecided, for every block of a page."""
+    labels: list[int | None] = []
+    long: list[int] = []
+    for i, (text, link_chars, aside, _) in enumerate(found):
+        labels.append(0 if aside or link_chars > LINK_DENSITY * len(text) else None)
+        if labels[i] is None and len(text) >= LONG:
+            long.append(i)
+    fits = []
+    for i in long:
+        letters = _LETTERS.findall(found[i][0].lower())
+        fits.append(sum(w in stop_words for w in letters) >= STOP_DENSITY * max(len(letters), 1))
+    size = sum(len(found[i][0]) for i in long)
+    known = sum(len(found[i][0]) for i, fit in zip(long, fits, strict=True) if fit) >= FITTING * size
+    for i, fit in zip(long, fits, strict=True):
+        labels[i] = 1 if fit or not known else None
+    return labels
 
 
 def second_labels(found: list[Block], labels: list[int | None]) -> list[int]:
     """Undecided blocks take the label of the nearest decided block of their region; two passes over the page."""
     out = list(labels)
+    cored = any(b[3] and not b[2] for b in found)
     for region in (False, True):
         own = [i for i, b in enumerate(found) if b[3] == region]
+        seeded = any(labels[i] == 1 for i in own)
         back: dict[int, tuple[int, int]] = {}
         ahead: dict[int, tuple[int, int]] = {}
         for order, nearest in ((own, back), (own[::-1], ahead)):
@@ -164,19 +210,27 @@ def second_labels(found: list[Block], labels: list[int | None]) -> list[int]:
                 if labels[i] is None:
                     if last is not None:
                         nearest[i] = (abs(i - last), -labels[last])  # good before bad at the same distance
-                elif not found[i][2]:
+                elif not found[i][2] and (labels[i] or seeded or not region):
                     last = i
         for i in own:
             if labels[i] is None:
                 near = [m[i] for m in (back, ahead) if i in m]
-                out[i] = -min(near)[1] if near else int(region)
+                out[i] = -min(near)[1] if near else int(region or not cored)
     return out
 
 
 def page_text(page: str, names: frozenset[str], stop_words: frozenset[str]) -> str:
     found = list(blocks_of(page, names))
-    labels = second_labels(found, [first_label(b, stop_words) for b in found])
-    return "\n\n".join(b[0] for b, good in zip(found, labels, strict=True) if good)
+    texts = _good(found, stop_words)
+    if not texts:
+        found = [(text, links, 0 if article and aside == NAMED else aside, article) for text, links, aside, article in found]
+        texts = _good([b for b in found if b[3]], stop_words)
+    return "\n\n".join(texts)
+
+
+def _good(found: list[Block], stop_words: frozenset[str]) -> list[str]:
+    labels = second_labels(found, first_labels(found, stop_words))
+    return [b[0] for b, good in zip(found, labels, strict=True) if good]
 
 
 def main_text(pages: DataFrame, names: list[str] = ASIDE_NAMES, stop_words: list[str] = STOP_WORDS) -> DataFrame:
