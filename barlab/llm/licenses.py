@@ -1,9 +1,12 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Units of a file are its lines that name a licence, and the whole text of a
-licence file. Terms are weighed by counts times inverse document frequency
-over all files; a file has the licence of the template that is most like one
-of its units, from ``LEAST`` on. A directory has the licence of its licence
+Units of a file are its lines and paragraphs that name a licence, its leading
+comment block if that names one, and the whole text of a licence file. Templates
+are full texts, standard headers, titles and identifiers, several a licence.
+Terms are weighed by counts times inverse document frequency over all files; a
+file has the licence of the template that is most like one of its units, from
+``LEAST`` on, among those whose own terms (name, version) the unit holds, so an
+unknown licence is not taken for the one that its notice looks like. A directory has the licence of its licence
 files. A file without a licence of its own takes that of its nearest ancestor
 directory: each file is joined to its ancestors by their paths.
 
@@ -11,7 +14,9 @@ Defined cases: a null or empty text has no unit and can only inherit; a null
 path neither gives nor takes; of equal likeness the template first by name
 wins, of several licence files in one directory the one most like its template,
 then the first path; repeated rows give repeated results; an empty table gives
-an empty result. Columns besides path and text are not read.
+an empty result. Columns besides path and text are not read; those called as
+a result column (direct_license, cosine, license, basis, license_dir) give way
+to it, and ``text`` is not handed on.
 """
 
 from __future__ import annotations
@@ -20,20 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlab.llm.common import staged
+from barlab.llm.license_texts import Statement, statements
 
 LEAST = 0.6
-#: Statements to recognise. A parameter.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms are permitted under the BSD License",
-    "CC-BY-4.0": "Licensed under CC BY 4.0",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "MIT": "Released under the MIT License",
-    "MPL-2.0": "This file is subject to the terms of the Mozilla Public License, version 2.0",
-}
+SALTS = 32
 #: A line without any of these is no licence statement.
-ANCHORS = r"(?i)licen[cs]e|copyright|spdx"
+ANCHORS = r"(?i)licen[cs]e|copyright|spdx|redistribut"
+#: A line of a comment, or one without text.
+COMMENT = r"^\s*(//|#|\*|/\*|--|;|%|<!--|\(\*|dnl |rem |\"\"\"|'''|$)"
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice)([._-].*)?$"
 
 
@@ -54,36 +53,45 @@ def _weights(counted: DataFrame, frequencies: DataFrame, n: int, key: str) -> Da
     return weighed.join(norms, key)
 
 
-def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
+def units_of(text: Column, name: Column) -> Column:
+    """All units of a text that name a licence."""
+    lines = F.split(text, "\r?\n")
+    body = F.array_position(F.transform(lines, lambda line: line.rlike(COMMENT)), False)
+    lead = F.array_join(F.when(body == 0, lines).otherwise(F.slice(lines, F.lit(1), F.greatest(body.cast("int") - 1, F.lit(0)))), "\n")
+    # a line with no letter or digit ends a paragraph
+    paragraphs = F.split(text, r"\n[^\p{L}\p{N}\n]*\n")
+    whole = F.when(name.rlike(FILE_NAMES), F.array(text)).otherwise(F.array().cast("array<string>"))
+    named = F.filter(F.concat(lines, paragraphs, F.array(lead)), lambda unit: unit.rlike(ANCHORS))
+    return F.array_distinct(F.concat(named, whole))
+
+
+def scan(files: DataFrame, templates: list[Statement] | None = None, least: float = LEAST) -> DataFrame:
     """Every row of ``files`` with direct_license, cosine, license, basis (own, inherited or none) and license_dir."""
     spark = files.sparkSession
+    templates = statements() if templates is None else templates
     text = F.coalesce("text", F.lit(""))
     name = F.substring_index("path", "/", -1)
     keyed = files.select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    units = keyed.where(text.rlike(ANCHORS)).select(
-        "path",
-        F.explode(F.concat(
-            F.filter(F.split(text, "\n"), lambda line: line.rlike(ANCHORS)),
-            F.when(name.rlike(FILE_NAMES), F.array(text)).otherwise(F.array().cast("array<string>")),
-        )).alias("unit"),
-    )
-    units = staged(units.where("path is not null").distinct().withColumn("key", F.xxhash64("path", "unit")), "units")
+    units = keyed.where(text.rlike(ANCHORS)).select("path", F.explode(units_of(text, name)).alias("unit"))
+    units = staged(units.where("path is not null").distinct().withColumn("key", F.xxhash64("unit")), "units")
     n = files.count()
     frequencies = staged(document_frequencies(keyed), "frequencies")
 
-    listed = spark.createDataFrame(sorted(templates.items()), "license string, unit string")
-    known = _weights(
-        listed.select("license", F.explode(terms(F.col("unit"))).alias("term")).groupBy("license", "term").agg(F.count(F.lit(1)).alias("count")), frequencies, n, "license"
-    )
-    known = known.select("license", "term", F.col("weight").alias("w"), F.col("norm").alias("m"))
-    counted = units.select("key", F.explode(terms(F.col("unit"))).alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("count"))
+    listed = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "form int, license string, unit string, must string")
+    known = _weights(listed.select("form", F.explode(terms(F.col("unit"))).alias("term")).groupBy("form", "term").agg(F.count(F.lit(1)).alias("count")), frequencies, n, "form")
+    known = known.select("form", "term", F.col("weight").alias("w"), F.col("norm").alias("m"))
+    counted = units.dropDuplicates(["key"]).select("key", F.explode(terms(F.col("unit"))).alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("count"))
     own = _weights(counted, frequencies, n, "key")
-    alike = own.join(known, "term").groupBy("key", "license").agg(
+    alike = own.join(known, "term").groupBy("key", "form").agg(
         (F.sum(F.col("weight") * F.col("w")) / (F.max("norm") * F.max("m"))).alias("cosine")
     )
     # best first: the most alike (to nine places), then the first name
     best = F.max_by(F.struct("license", "cosine"), F.struct(F.round("cosine", 9), F.translate("license", _FORWARD, _BACKWARD)))
-    direct = units.select("path", "key").join(alike.where(F.col("cosine") >= least), "key").groupBy("path").agg(best.alias("best"))
+    meant = alike.where(F.col("cosine") >= least).join(listed.select("form", "license", terms(F.col("must")).alias("must")), "form")
+    # a notice may stand in a third of all files: its rows are spread over several copies of what it means
+    meant = meant.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = units.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
+    direct = spread.join(meant, ["key", "salt"]).where(F.size(F.array_except("must", terms(F.col("unit")))) == 0).groupBy("path").agg(best.alias("best"))
     direct = staged(direct.select("path", F.col("best.license").alias("direct_license"), F.round("best.cosine", 6).alias("cosine")), "direct")
 
     folder = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit(""))
