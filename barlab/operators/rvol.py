@@ -217,12 +217,28 @@ def magnitude_distribution(top: DataFrame, thresholds: dict[str, float] | None =
 
 
 def verdict_summary(top: DataFrame, days: DataFrame, cfg: RankingConfig) -> DataFrame:
-    """Hit, base, lift, capture and churn per checkpoint in one table."""
-    per_day = picks_per_day(top).groupBy("checkpoint").agg(F.avg("n_hits").alias("mean_picks_hit"))
-    out = hit_rate_curve(top, days)
-    for part in (capturable_curve(top).drop("mean_fav_move"), per_day, churn_curve(top, cfg).select("checkpoint", "churn")):
-        out = out.join(part, "checkpoint", "left")
-    return out
+    """Hit, base, lift, capture and churn per checkpoint in one table.
+
+    The picks of a date are brought together once; staying on and the size of
+    each day's list are windows there, and one aggregate gives every figure.
+    """
+    one = F.lit(1)
+    listed = Window.partitionBy("date", "checkpoint")
+    stays = F.lead("step").over(Window.partitionBy("date", "symbol").orderBy("step")) == F.col("step") + 1
+    placed = top.repartition("date").withColumns({
+        "_size": F.count(one).over(listed), "_stays": F.coalesce(stays, F.lit(False)).cast("double"),
+    })
+    hit = F.col("hit_2pct").cast("double")
+    n_days = F.count_if(F.col("r_rank") == 1)
+    rest = 1 - F.sum(F.col("_stays") / F.col("_size")) / n_days  # mean over days of the share that stays
+    out = placed.groupBy("checkpoint").agg(
+        F.count(one).alias("n_picks"), F.avg(hit).alias("topn_hit"), F.avg(F.when(F.col("in_top5"), hit)).alias("top5_hit"),
+        base_rate(days).scalar().alias("base_rate"), F.median("fav_move_after_cp_pct").alias("median_fav_move"),
+        share(F.col("capturable")).alias("pct_capturable"), (F.count_if("hit_2pct") / n_days).alias("mean_picks_hit"),
+        F.when(F.max("step") < len(cfg.checkpoints) - 1, rest).alias("churn"),
+    )
+    lifts = {f"lift_{x}": F.col(f"{x}_hit") - F.col("base_rate") for x in ("topn", "top5")}
+    return out.withColumns(lifts)
 
 
 def leaderboard(long: DataFrame, top_n: int, basket: int) -> DataFrame:
