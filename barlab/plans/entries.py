@@ -11,6 +11,7 @@ from barlab.plans.ranking import long_rows
 from barlab.plans.registry import query
 from barlab.plans.relational import CPS
 from barlab.plans.sql_base import table
+from barlab.session import materialise
 
 C = F.col
 PERIOD, BACK, START, END = 14, 3, "06:00", "20:00"
@@ -357,8 +358,12 @@ _MET = "filter " + " ".join(f"{m}:{'i' if m in _INT else 'r'}" for m in TR.METRI
 
 
 def metrics(fx):
-    days = basket(fx).agg(F.count_distinct("date")).scalar()
-    return TR.trade_metrics(both_logs(fx), "filter", days)
+    fx = fx.by_day()
+    leaders = materialise(basket(fx), "basket")
+    days = leaders.agg(F.count_distinct("date")).scalar()
+    ready = TR.prepare(G.basket_triggers(found(fx), leaders), fx.bars_intraday, CFG)
+    log = TR.select_trades(TR.resolve(ready, fx.bars_intraday, CFG), ("A", "B"))
+    return TR.trade_metrics(log, "filter", days)
 
 
 def sweep_metrics(fx):

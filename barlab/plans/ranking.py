@@ -426,7 +426,7 @@ _LIFT = ("method checkpoint n_total_picks:i hit_rate:r base_rate:r lift:r n_tota
 
 @query("rst11_lift_summary", _LIFT, "SELECT * FROM x_lift")
 def _(fx):
-    return ST.lift_summary(curves(fx))
+    return ST.lift_summary(curves(fx.by_day()))
 
 
 @query("rst12_pooled_methods", "method n_total_picks:i hit_rate:r base_rate:r lift:r hit_rate_top5:r lift_top5:r lift_delta_vs_B0:r lift_delta_vs_B1:r",

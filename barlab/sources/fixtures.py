@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barlab.sources.layout import buckets_for, laid_out
+
 # Three symbols with ex-dates, one of them on a day without a bar.
 CORPORATE_ACTIONS = [
     ("S1", "1996-03-15", "split", 2.0),
@@ -104,6 +106,14 @@ class Fixtures:
         )
         return _clocked(bars, ["symbol"])
 
+    def by_day(self) -> Fixtures:
+        """The same frames with the hourly bars laid out by symbol and day, for queries that use them several times."""
+        out = Fixtures(self.spark, self.folder)
+        # an hourly bar holds at least one event; parquet counts rows without reading them
+        buckets = buckets_for(self.table("events").count())
+        out.bars_intraday = laid_out(self.bars_intraday, ["symbol", "d"], ["t"], buckets)
+        return out
+
     @cached_property
     def bench_intraday(self) -> DataFrame:
         """One series per event type and one, ALL, over every event."""
