@@ -98,8 +98,14 @@ def silhouette(df: DataFrame, key: str, cluster: str, columns: Sequence[str], bl
     return total.agg(F.avg(value).alias("silhouette"), F.count(F.lit(1)).alias("n"))
 
 
-def silhouette_squared(df: DataFrame, cluster: str, columns: Sequence[str]) -> float:
-    """Mean silhouette on squared distances from cluster moments: linear in rows, for tables of any size."""
+def silhouette_squared(df: DataFrame, cluster: str, columns: Sequence[str]) -> float | None:
+    """Mean silhouette on squared distances from cluster moments: linear in rows, for tables of any size.
+
+    Without a second cluster there is none, as in :func:`silhouette`; a single point has 0.
+    """
+    sizes = [r.n for r in df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n")).limit(2).collect()]
+    if len(sizes) < 2:
+        return 0.0 if sizes == [1] else None
     rows = with_vector(df, columns).withColumn("_c", F.col(cluster).cast("int"))
     return ClusteringEvaluator(featuresCol="features", predictionCol="_c", distanceMeasure="squaredEuclidean").evaluate(rows)
 

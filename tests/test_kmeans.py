@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barlab.operators import kmeans
-from barlab.operators.clusters import silhouette, stability
+from barlab.operators.clusters import silhouette, silhouette_squared, stability
 
 
 @pytest.fixture(scope="module")
@@ -78,3 +78,12 @@ def test_silhouette_does_not_depend_on_blocks(cloud, rows):
         s.append((outside - inside) / max(inside, outside) if own.any() else 0.0)
     got = silhouette(labelled, "id", "g", ["a", "b", "c"], rows).first()
     assert got.n == 500 and got.silhouette == pytest.approx(np.mean(s))
+
+
+def test_silhouettes_of_one_cluster_are_missing(cloud):
+    df, _ = cloud
+    one = df.where("id < 500").withColumn("g", F.lit(1))
+    assert silhouette_squared(one, "g", ["a", "b", "c"]) is None
+    assert silhouette(one, "id", "g", ["a", "b", "c"]).first().silhouette is None
+    assert silhouette_squared(one.where("id = 3"), "g", ["a", "b", "c"]) == 0
+    assert silhouette_squared(one.where("id < 0"), "g", ["a", "b", "c"]) is None
