@@ -19,12 +19,17 @@ EPS = 1e-9
 
 
 def membership_map(constituents: DataFrame, universe: DataFrame, broad: str) -> DataFrame:
-    """A sector row per list a symbol is on, and one broad row for every symbol."""
+    """A sector row per list a symbol is on, and one broad row for every symbol.
+
+    Both come out of one row a symbol. A union of two parts that are dealt by
+    symbol would keep them so, and fails where adaptive execution gives the parts
+    different numbers of partitions.
+    """
     known = universe.select("symbol").distinct()
-    sector = constituents.select(F.explode("symbols").alias("symbol"), "benchmark_index").join(known, "symbol", "left_semi")
-    return sector.withColumn("membership_type", F.lit("sector")).unionByName(
-        known.select("symbol", F.lit(broad).alias("benchmark_index"), F.lit("broad").alias("membership_type"))
-    )
+    on = F.struct("benchmark_index", F.lit("sector").alias("membership_type"))
+    lists = constituents.select(F.explode("symbols").alias("symbol"), "benchmark_index").groupBy("symbol").agg(F.collect_list(on).alias("_on"))
+    every = F.array(F.struct(F.lit(broad).alias("benchmark_index"), F.lit("broad").alias("membership_type")))
+    return known.join(lists, "symbol", "left").select("symbol", F.inline(F.concat(F.coalesce("_on", F.slice(every, 1, 0)), every)))
 
 
 def sector_profile(members: DataFrame, index_members: DataFrame | None = None) -> DataFrame:
