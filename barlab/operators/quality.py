@@ -62,16 +62,21 @@ def count_checks(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def move(now: Column, before: Column) -> Column:
+    """Size of a relative move. From a price of zero it is infinite, or NaN where the price stays zero; both are beyond any threshold."""
+    return F.when(before == 0, F.abs(now) * F.lit(float("inf"))).otherwise(F.abs(ratio(now, before) - 1))
+
+
 def spike_rows(bars: DataFrame, threshold: float, keys: Sequence[str], order: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(order)
-    change = F.abs(ratio(F.col("close"), F.lag("close").over(w)) - 1)
+    change = move(F.col("close"), F.lag("close").over(w))
     return bars.withColumn("change", change).where(F.col("change") > threshold)
 
 
 def intraday_spike_rows(bars: DataFrame, threshold: float) -> DataFrame:
     """Jumps between neighbouring bars of long series, overnight ones included, one day per window."""
     seen = with_previous(bars, "close", "_prev")
-    return seen.withColumn("change", F.abs(ratio(F.col("close"), F.col("_prev")) - 1)).where(F.col("change") > threshold).drop("_prev")
+    return seen.withColumn("change", move(F.col("close"), F.col("_prev"))).where(F.col("change") > threshold).drop("_prev")
 
 
 def spikes(bars: DataFrame, threshold: float, keys: Sequence[str], order: str, shown: int = 10) -> DataFrame:
