@@ -123,6 +123,13 @@ def centroids(df: DataFrame, cluster: str, columns: Sequence[str]) -> DataFrame:
     return df.groupBy(cluster).agg(*[F.avg(f"{c}_z").alias(c) for c in columns])
 
 
+def every_regime(z: DataFrame, cluster: str, regimes: Sequence[int]) -> DataFrame:
+    """``z`` with a row for each regime of a rule, those without a day too; their features are null, so they stand out by nothing."""
+    spark = z.sparkSession
+    ruled = spark.range(1).select(F.explode(F.array(*[F.lit(r) for r in regimes])).alias(cluster))
+    return ruled.join(z, cluster, "left")
+
+
 # What each slot looks at and the words it may say.
 SLOTS = (
     (("vix_level", "vix_change_pct"), "high_vol", "low_vol"),
