@@ -211,7 +211,9 @@ def compare_variants(metrics: DataFrame, variant: str, values: Sequence[str]) ->
 
 
 def best_variant(metrics: DataFrame, variant: str) -> DataFrame:
-    return metrics.agg(F.max_by(variant, F.struct("expectancy_R", variant)).alias("best"), F.max("expectancy_R").alias("expectancy_R"))
+    """The variant of highest expectancy, the last name of equals; no row where no variant traded."""
+    first = metrics.orderBy(F.desc_nulls_last("expectancy_R"), F.desc(variant)).limit(1)
+    return first.select(F.col(variant).alias("best"), "expectancy_R")
 
 
 def trade_log(parts: Sequence[DataFrame]) -> DataFrame:

@@ -134,3 +134,14 @@ def test_forced_bar_that_also_touches_exits_at_its_open(spark):
     trade, later = one_trade(spark, [(100, 100, 100, 100), (101, 105, 90, 95)])
     r = TR.resolve(trade, later, TR.TradeConfig(force_close="10:05")).first()
     assert (r["exit_reason"], r["exit_price"]) == ("time", 101.0)
+
+
+@pytest.mark.parametrize("rows, want", [
+    ([], []),
+    ([("A", None)], [("A", None)]),
+    ([("A", -1.0), ("B", None)], [("A", -1.0)]),
+    ([("A", 0.5), ("C", 0.5), ("B", 0.2)], [("C", 0.5)]),
+])
+def test_best_variant_without_trades_is_no_row(spark, rows, want):
+    got = TR.best_variant(spark.createDataFrame(rows, "filter string, expectancy_R double"), "filter").collect()
+    assert [tuple(r) for r in got] == want
