@@ -226,11 +226,17 @@ def stream(sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return line, np.flatnonzero(line != _START)
 
 
-def predicted(p: Parameters, line: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Predicted vectors of the tokens at these places."""
-    out = p["context"][line[at - 1]] * p["place"][0]
+def placed(p: Parameters) -> list[np.ndarray]:
+    """The context vectors as each place before a token weighs them."""
+    return [p["context"] * p["place"][i] for i in range(CONTEXT)]
+
+
+def predicted(p: Parameters, line: np.ndarray, at: np.ndarray, weighed: list[np.ndarray] | None = None) -> np.ndarray:
+    """Predicted vectors of the tokens at these places; ``weighed`` are the ``placed`` vectors where they are at hand."""
+    weighed = placed(p) if weighed is None else weighed
+    out = weighed[0][line[at - 1]]
     for i in range(1, CONTEXT):
-        out += p["context"][line[at - 1 - i]] * p["place"][i]
+        out += weighed[i][line[at - 1 - i]]
     return out
 
 
@@ -238,8 +244,9 @@ def _scatter(size: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Rows of ``values`` summed by number."""
     out = np.zeros((size, *values.shape[1:]), np.float32)
     order = np.argsort(at.astype(np.uint16), kind="stable")
-    put, first = np.unique(at[order], return_index=True)
-    out[put] = np.add.reduceat(values[order], first, axis=0)
+    rising = at[order]
+    first = np.flatnonzero(np.concatenate([[True], rising[1:] != rising[:-1]]))
+    out[rising[first]] = np.add.reduceat(values[order], first, axis=0)
     return out
 
 
@@ -258,9 +265,9 @@ def step(p: Parameters, line: np.ndarray, at: np.ndarray, noise: np.ndarray, log
     grads["context"] = np.zeros_like(p["context"])
     grads["place"] = np.zeros_like(p["place"])
     for i in range(CONTEXT):
-        before = line[at - 1 - i]
-        grads["context"] += _scatter(CLASSES + 1, before, dh * p["place"][i])
-        grads["place"][i] = (dh * p["context"][before]).sum(0)
+        sums = _scatter(CLASSES + 1, line[at - 1 - i], dh)
+        grads["context"] += sums * p["place"][i]
+        grads["place"][i] = (sums * p["context"]).sum(0)
     for k, g in grads.items():
         g /= len(at)
         p[f"{k}_sum"] += g * g
@@ -271,10 +278,11 @@ def log_probabilities(p: Parameters, line: np.ndarray, at: np.ndarray) -> np.nda
     """Normalised natural log-probabilities of the classes at these places."""
     out = np.empty(len(at))
     ones = np.ones(CLASSES, np.float32)
+    weighed = placed(p)
     longest, highest = math.sqrt(float((p["target"] ** 2).sum(axis=1).max())), float(np.abs(p["bias"]).max())
     for cut in range(0, len(at), _SCORED):
         part = at[cut : cut + _SCORED]
-        h = predicted(p, line, part)
+        h = predicted(p, line, part, weighed)
         scores = h @ p["target"].T
         scores += p["bias"]
         if longest * math.sqrt(float((h * h).sum(axis=1).max())) + highest > _SAFE:
@@ -298,6 +306,11 @@ def _pieces(sequences: list[bytes], size: int = STEP) -> Iterator[tuple[np.ndarr
         yield stream(held)
 
 
+def round_share(at: np.ndarray, turn: int, rng: np.random.Generator) -> np.ndarray:
+    """The places a round trains on, in random order; every place is in exactly one round."""
+    return rng.permutation(at[turn::ROUNDS])
+
+
 def train(encoded: DataFrame, vocab: Vocabulary) -> Parameters:
     """Parameters after all rounds over the training texts."""
     p = start(vocab)
@@ -313,7 +326,7 @@ def train(encoded: DataFrame, vocab: Vocabulary) -> Parameters:
             for batch in batches:
                 for line, at in _pieces(batch["ids"].to_pylist()):
                     rng = np.random.default_rng((len(at), turn))
-                    at = rng.permutation(at)[turn::ROUNDS]
+                    at = round_share(at, turn, rng)
                     for cut in range(0, len(at), BATCH):
                         noise = np.minimum(np.searchsorted(bounds, rng.random(NOISE)), CLASSES - 1)
                         step(own, line, at[cut : cut + BATCH], noise, log_noise)

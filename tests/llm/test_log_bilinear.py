@@ -123,3 +123,31 @@ def test_little_tables(spark):
     rows = found(spark, none)
     assert counted(rows) == plain(none)
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.score < 0 for r in rows)
+
+
+@pytest.mark.parametrize("n", [1, 3, 4, 1001])
+def test_the_rounds_cover_every_token_once(n):
+    at = np.arange(5, 5 + n)
+    seen = [lm.round_share(at, turn, np.random.default_rng((n, turn))) for turn in range(lm.ROUNDS)]
+    assert sorted(np.concatenate(seen).tolist()) == at.tolist()
+
+
+def test_gradients_equal_those_of_single_tokens():
+    """The summed context vectors and place weights of a step, token by token."""
+    rng = np.random.default_rng(2)
+    p = {k: rng.normal(0, 0.3, shape).astype(np.float32) for k, shape in lm._SHAPES.items()}
+    p |= {f"{k}_sum": np.full(shape, 1e-20, np.float32) for k, shape in lm._SHAPES.items()}
+    line, at = lm.stream([rng.integers(0, lm.CLASSES, 200).astype("<u2").tobytes()])
+    noise, ln = rng.integers(0, lm.CLASSES, lm.NOISE), np.zeros(lm.CLASSES, np.float32)
+    context, place = np.zeros(lm._SHAPES["context"]), np.zeros(lm._SHAPES["place"])
+    before = {k: v.astype(float) for k, v in p.items()}
+    for j in at:
+        h = sum(before["context"][line[j - 1 - i]] * before["place"][i] for i in range(lm.CONTEXT))
+        sigmoid = lambda c: 1 / (1 + np.exp(-(before["target"][c] @ h + before["bias"][c])))
+        dh = (1 - sigmoid(line[j])) * before["target"][line[j]] - sum(sigmoid(c) * before["target"][c] for c in noise)
+        for i in range(lm.CONTEXT):
+            context[line[j - 1 - i]] += dh * before["place"][i]
+            place[i] += dh * before["context"][line[j - 1 - i]]
+    lm.step(p, line, at, noise, ln)
+    assert np.allclose(p["context_sum"], (context / len(at)) ** 2, rtol=1e-3, atol=1e-8)
+    assert np.allclose(p["place_sum"], (place / len(at)) ** 2, rtol=1e-3, atol=1e-8)
