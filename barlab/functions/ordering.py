@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PARTS = 64
+#: Shares that the rows of a group are dealt into where they meet a row of their group.
+SHARES = 32
 
 
 def with_ranges(df: DataFrame, keys: Sequence[str], order: Column, parts: int = PARTS) -> DataFrame:
@@ -25,7 +27,7 @@ def with_ranges(df: DataFrame, keys: Sequence[str], order: Column, parts: int =
     grid = F.array(*[F.lit(i / parts) for i in range(1, parts)])
     cuts = work.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_v", grid, F.lit(10 * parts))).alias("_cuts"))
     if keys:
-        work = _attach(work, cuts, keys)
+        work = _attach_group(work, cuts, keys)
     else:
         work = work.withColumn("_cuts", cuts.scalar())
     below = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
@@ -85,6 +87,20 @@ def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
     return left.join(renamed, on, "left").drop(*[f"_k_{k}" for k in keys])
 
 
+def _attach_group(left: DataFrame, right: DataFrame, keys: Sequence[str], few: bool = False) -> DataFrame:
+    """Join of rows with one row a group, by which no group's rows come into one task.
+
+    The rows are dealt by group and by the partition they come from, and the
+    group's row is repeated for each share. ``few`` says that the number of
+    groups is bounded; then the groups go to every task and no row moves.
+    """
+    if few:
+        return _attach(left, F.broadcast(right), keys)
+    dealt = left.withColumn("_share", F.spark_partition_id() % SHARES)
+    repeated = right.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    return _attach(dealt, repeated, [*keys, "_share"]).drop("_share")
+
+
 def _offset_sums(ranged: DataFrame, keys: list[str], names: list[str], order: list[Column], totals: bool = False) -> DataFrame:
     per_range = ranged.groupBy(*keys, "_part").agg(*[F.sum(f"_s_{n}").alias(f"_t_{n}") for n in names])
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,7 +121,8 @@ def _offset_sums(ranged: DataFrame, keys: list[str], names: list[str], order: li
 ACCURACY, ACCURACY_ALL, MARGIN = 5_000, 100_000, 10
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], accuracy: int | None = None) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], accuracy: int | None = None,
+                      few: bool = False) -> DataFrame:
     """Linear-interpolated percentiles per group, one column per entry of ``probs``.
 
     Equals ``percentile``, by selection: a sketch of bounded size brackets each
@@ -115,6 +132,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
     ordered window runs over a fraction of it. Nulls are left out; a group of
     nulls only has none. Should a wanted rank lie outside its bracket, which
     the margin makes all but impossible, the query fails instead of guessing.
+    ``few`` says that the number of groups is bounded.
     """
     keys = list(keys)
     accuracy = accuracy or (ACCURACY if keys else ACCURACY_ALL)
@@ -126,7 +144,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
         F.percentile_approx("_x", low, F.lit(accuracy)).alias("_low"), F.percentile_approx("_x", high, F.lit(accuracy)).alias("_high")
     )
     if keys:
-        bound = _attach(rows, sketch, keys)
+        bound = _attach_group(rows, sketch, keys, few)
     else:
         bound = rows.withColumn("_b", sketch.select(F.struct("_low", "_high")).scalar()).select("_x", "_b._low", "_b._high")
     inside = F.exists(F.arrays_zip("_low", "_high"), lambda b: (b["_low"] <= F.col("_x")) & (F.col("_x") <= b["_high"]))

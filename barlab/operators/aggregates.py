@@ -65,8 +65,9 @@ def describe_all(df: DataFrame, value: str) -> DataFrame:
     )
 
 
-def percentile_set(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    return exact_percentiles(df, keys, value, {f"p{round(p * 100)}": p for p in probs})
+def percentile_set(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], few: bool = False) -> DataFrame:
+    """Exact percentiles per group; ``few`` says that the number of groups is bounded."""
+    return exact_percentiles(df, keys, value, {f"p{round(p * 100)}": p for p in probs}, few=few)
 
 
 def percentile_table(df: DataFrame, metrics: Sequence[str], probs: Sequence[float]) -> DataFrame:
@@ -75,7 +76,7 @@ def percentile_table(df: DataFrame, metrics: Sequence[str], probs: Sequence[floa
     moments = long.groupBy("metric").agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")
     )
-    return moments.join(percentile_set(long, ["metric"], "value", probs), "metric", "left")
+    return moments.join(percentile_set(long, ["metric"], "value", probs, few=True), "metric", "left")
 
 
 def shares_over(df: DataFrame, keys: Sequence[str], value: str, thresholds: dict[str, float]) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barlab.functions.ordering import exact_percentiles, with_ranges, with_row_number, with_running
+from barlab.functions.ordering import _attach_group, exact_percentiles, with_ranges, with_row_number, with_running
 
 
 @pytest.fixture(scope="module")
@@ -84,3 +84,37 @@ def test_selection_orders_few_rows(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Range (0, 200000") == 2
     assert found.first()["m"] == pytest.approx(df.toPandas()["v"].median())
+
+
+@pytest.fixture()
+def joins_by_shuffle(spark):
+    """Plans that neither broadcast nor coalesce, so that partitions show how rows are dealt."""
+    names = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_one_group_meets_its_sketch_in_many_tasks(spark, joins_by_shuffle, few):
+    df = spark.range(0, 4000, 1, 8).select(F.lit("hot").alias("g"), F.col("id").cast("double").alias("v"))
+    sketch = spark.createDataFrame([("hot", 1)], "g string, c int")
+    sizes = [r["count"] for r in _attach_group(df, sketch, ["g"], few).groupBy(F.spark_partition_id().alias("p"), "c").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 2000
+
+
+def test_ranges_of_one_group_are_cut_in_many_tasks(spark, joins_by_shuffle):
+    df = spark.range(0, 4000, 1, 8).select(F.lit("hot").alias("g"), F.col("id").cast("double").alias("v"))
+    ranged = with_ranges(df, ["g"], F.col("v"))
+    sizes = [r["count"] for r in ranged.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 2000
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_percentiles_of_few_groups(skewed, few):
+    got = {r["g"]: r["m"] for r in exact_percentiles(skewed, ["g"], "v", {"m": 0.9}, few=few).collect()}
+    for g, part in skewed.toPandas().groupby("g"):
+        assert got[g] == pytest.approx(part["v"].quantile(0.9), abs=1e-12)
