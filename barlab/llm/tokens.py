@@ -10,10 +10,9 @@ tokenizer.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
-import numpy as np
-
 #: Bytes that a worker's memo may take, by a rough count; beyond it the memo starts anew, which costs time and no results.
 MEMO_BYTES = 200_000_000
 #: What an entry takes besides its letters, and the longest word that is kept.
@@ -28,6 +27,11 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 16-bit integers."""
+    return struct.pack(f"<{len(ids)}H", *ids)
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable sign of each byte in byte-level vocabularies, rebuilt from its rule."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -51,22 +55,24 @@ class WordTokenizer:
         self.held = 0
 
     def _part(self, part: str) -> bytes:
-        """A run of letters in lower case, or a run of punctuation."""
-        if (got := self.parts.get(part)) is None:
-            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-            got = np.array([t.id for t in self.pieces(shown)], dtype="<u2").tobytes()
-            if len(part) <= _LONGEST:
-                self.parts[part] = got
-                self.held += _ENTRY + len(part)
+        """A run of letters in lower case, or a run of punctuation, that was not met before."""
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        got = _packed([t.id for t in self.pieces(shown)])
+        if len(part) <= _LONGEST:
+            self.parts[part] = got
+            self.held += _ENTRY + len(part)
         return got
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
         if found := _LATIN.fullmatch(text):
-            lower, tail = found[1].lower(), found[2]
+            core, tail = found.groups()
+            lower = core.lower()
             if lower.isalpha():
-                return self._part(lower) + (self._part(tail) if tail else b"")
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+                get = self.parts.get
+                got = get(lower) or self._part(lower)
+                return got + (get(tail) or self._part(tail)) if tail else got
+        return _packed(self.model.encode(text, add_special_tokens=False).ids)
 
     def _learnt(self, word: bytes) -> bytes:
         """The ids of a word that the memo lacks; it starts anew when full, within a text too."""
@@ -86,8 +92,9 @@ class WordTokenizer:
         for text in texts:
             parts = (text or "").encode().split()  # white space of ASCII only; the tokenizer drops the rest itself
             found = list(map(get, parts))
-            if None in found:
-                found = [learnt(w) if (got := get(w)) is None else got for w in parts]
+            for i in range(found.count(None)):
+                at = found.index(None) if not i else found.index(None, at + 1)
+                found[at] = get(parts[at]) or learnt(parts[at])  # it may have come before in this text
             yield b"".join(found)
 
 
